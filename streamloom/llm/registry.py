@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from streamloom.llm import byte_bpe, chat, exact_dedup, mixing, pii, quality, token_count
+from streamloom.llm import byte_bpe, chat, exact_dedup, fingerprints, mixing, pii, quality, token_count
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
     "op2_pii": pii.query,
     "op3_token_counts": token_count.query,
     "op4_source_mixing": mixing.query,
+    "op5_fingerprints": fingerprints.query,
     "op7_chat_formatting": chat.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_byte_bpe": byte_bpe.query,
