@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from streamloom.llm import byte_bpe, chat, exact_dedup, fingerprints, mixing, pii, quality, token_count
+from streamloom.llm import byte_bpe, chat, exact_dedup, fingerprints, lm, mixing, pii, quality, token_count
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
+    "op10_lm_scoring": lm.query,
     "op2_pii": pii.query,
     "op3_token_counts": token_count.query,
     "op4_source_mixing": mixing.query,
