@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from streamloom.llm import byte_bpe, chat, exact_dedup, fingerprints, lm, mixing, pii, quality, token_count
+from streamloom.llm import byte_bpe, chat, exact_dedup, fingerprints, lm, mixing, ngram_join, pii, quality, token_count
 
 QUERIES = {
     "op1_quality_classifier": quality.query,
@@ -11,11 +11,13 @@ QUERIES = {
     "op3_token_counts": token_count.query,
     "op4_source_mixing": mixing.query,
     "op5_fingerprints": fingerprints.query,
+    "op6_ngram_jaccard_join": ngram_join.query,
     "op7_chat_formatting": chat.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_byte_bpe": byte_bpe.query,
 }
 SQL = {
+    "op6_ngram_jaccard_join": ngram_join.SQL,
     "op7_chat_formatting": chat.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
