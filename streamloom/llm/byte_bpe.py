@@ -10,9 +10,10 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from streamloom.llm.common import id_and_text, per_batch, read, safe_pieces
+from streamloom.llm.common import id_and_text, per_batch, read, safe_pieces, sliced
 
 PIECE_CHARS = 65_536
 
@@ -57,6 +58,22 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
     return per_batch(id_and_text(docs, id_col, text_col), compute, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenized(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """round_trip with the ids themselves: doc_id, n_tokens, ids, ids_sha256, decoded_sha256."""
+
+    def run(batches):
+        for batch in batches:
+            for part in sliced(batch, 4_000_000):
+                ids = [np.array(encode(t, rank_path, pattern), "<u4") for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = np.concatenate(ids).astype(np.int32)
+                digest = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+                back = [hashlib.sha256(decode(x.tolist(), rank_path, pattern)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(digest), pa.array(back)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -34,6 +34,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: one of each group of equal texts."""
+    stay = exact_dedup(docs, id_col, text_col, keep).filter("kept").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha"))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
+    same = Window.partitionBy(id_col, "_sha").orderBy(F.lit(0))
+    marked = docs.withColumn("_sha", sha).withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
+    return marked.alias("d").join(stay, (F.col(f"d.{id_col}") == F.col("_stays")) & (F.col("d._sha") == stay["_sha"]), "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="max")
 

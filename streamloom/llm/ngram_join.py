@@ -268,6 +268,13 @@ def plain_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component the smallest id."""
+    found = settle(ngram_join(docs, id_col, text_col), "ngram-result")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"))
 
