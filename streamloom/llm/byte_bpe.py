@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from streamloom.llm.common import id_and_text, per_batch, read, safe_pieces, sliced
+from streamloom.llm.common import id_and_text, in_batches, per_batch, read, safe_pieces, sliced
 
 PIECE_CHARS = 65_536
 
@@ -71,7 +71,7 @@ def tokenized(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_
                 back = [hashlib.sha256(decode(x.tolist(), rank_path, pattern)).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(digest), pa.array(back)], names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
+    return in_batches(id_and_text(docs, id_col, text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

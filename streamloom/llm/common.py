@@ -68,6 +68,23 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def in_batches(rows: DataFrame, most_rows: int = 1000) -> DataFrame:
+    """Bound the Arrow batches that Python workers get, so that neither side of a worker holds a whole partition of texts.
+    A size that the session sets itself stays."""
+    conf = rows.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most_rows))
+    return rows
+
+
+def hash_sample(rows: DataFrame, n_rows: int, most: int, *columns: str) -> DataFrame:
+    """At most `most` of n_rows rows: those with the smallest hashes of the first column, other columns breaking ties. A
+    threshold on the hash leaves about 4 * most candidates before any are sorted."""
+    key, space = F.pmod(F.xxhash64(columns[0]), F.lit(1 << 40)), 1 << 40
+    limit = space if n_rows <= 8 * most else space * 4 * most // n_rows
+    return rows.filter(key < limit).orderBy(key, *columns).limit(most)
+
+
 def per_batch(rows: DataFrame, compute: Callable[..., dict], schema: str, columns: tuple[str, ...] = ("doc_id", "text"), keep: tuple[str, ...] = ("doc_id",), piece_chars: int = 8_000_000) -> DataFrame:
     """Apply compute(list, ...) -> {column: values} to slices of Arrow batches of bounded text size.
 
@@ -84,7 +101,7 @@ def per_batch(rows: DataFrame, compute: Callable[..., dict], schema: str, column
                 types = types or arrow_types(schema)
                 yield pa.RecordBatch.from_arrays([part.column(c) if c in keep else pa.array(out[c], types[c]) for c in names], names=names)
 
-    return rows.select(*columns).mapInArrow(run, schema)
+    return in_batches(rows.select(*columns)).mapInArrow(run, schema)
 
 
 def sliced(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_and_text, read
+from streamloom.llm.common import id_and_text, in_batches, read
 
 WINDOW = 64
 POINTS = 16
@@ -290,7 +290,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: see SCHEMA. The next document is the one with the next larger id, after the last the first; rows
     that share an id follow each other in order of their texts, and a null id comes first. Null texts are empty; an empty text
     has the empty fingerprint."""
-    rows = id_and_text(docs, id_col, text_col)
+    rows = in_batches(id_and_text(docs, id_col, text_col))
     rank_of = corpus_rarity(rows)
 
     def finish(ids: list, texts: list[str], known: np.ndarray | None) -> tuple[pa.RecordBatch, np.ndarray]:

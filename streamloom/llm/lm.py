@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import fold_of, id_and_text, read, settle, sliced
+from streamloom.llm.common import fold_of, hash_sample, id_and_text, in_batches, read, settle, sliced
 
 FOLDS = 10
 HEAVY = 1 << 17
@@ -243,7 +243,7 @@ def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
     driver, only to start with; then `rounds` over all texts, in the cluster."""
     share = vocab.class_share
     model = first_model(share)
-    sample = rows.filter(F.octet_length("text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_TEXTS).select("text").collect()
+    sample = hash_sample(rows.filter(F.octet_length("text") <= SAMPLE_BYTES), vocab.ends, SAMPLE_TEXTS, "doc_id", "text").select("text").collect()
     codes, lengths = vocab.code_arrays([r.text for r in sample], Codes(vocab.heavy))
     classes = vocab.class_of[codes]
     for _ in range(SAMPLE_ROUNDS if len(lengths) else 0):
@@ -276,7 +276,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Learns from the rows whose crc32(id as text) mod folds isn't 0. An empty or null text is just its end. Without training
     texts all counts are 0. Rows that repeat an id and text get the same scores.
     """
-    rows = id_and_text(docs, id_col, text_col)
+    rows = in_batches(id_and_text(docs, id_col, text_col))
     taught = rows.filter(fold_of(F.col("doc_id"), folds) != 0)
     counts = settle(word_counts(taught), "lm-counts")
     n_texts = docs.filter(fold_of(F.col(id_col), folds) != 0).count()

@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from streamloom.llm.common import id_and_text, read, settle, sliced
+from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced
 
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 21
 BLOCKS = 64
 FILTER_WORDS = 1 << 17
-CACHED = 300_000
+CACHED = 200_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
 
@@ -265,7 +265,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def plain_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    return in_batches(id_and_text(docs, id_col, text_col)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
