@@ -23,9 +23,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced
 
@@ -34,14 +34,14 @@ PERCENT = 80
 SLOTS = 1 << 21
 BLOCKS = 64
 FILTER_WORDS = 1 << 17
-CACHED = 200_000
+CACHED = 20_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        h = xxhash.xxh3_64_intdigest(word)
         if len(self) < CACHED:
             self[word] = h
         return h
@@ -95,7 +95,7 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in sliced(batch, 2_000_000):
+            for part in sliced(batch, 1_000_000):
                 sets = shingle_sets(part.column("text").to_pylist())
                 total += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         blocks = [b.astype("<u4").tobytes() for b in np.split(total, BLOCKS)]
@@ -123,7 +123,7 @@ def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            for part in sliced(batch, 2_000_000):
+            for part in sliced(batch, 1_000_000):
                 sets = shingle_sets(part.column("text").to_pylist())
                 classes, groups, prefixes = [], [], []
                 for s in sets:
@@ -182,7 +182,7 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
         for batch in batches:
             b1, b2 = batch.column("b1").to_numpy(), batch.column("b2").to_numpy()
             hit = (may[b1 >> 6] >> (b1 & 63)) & (may[b2 >> 6] >> (b2 & 63)) & 1
-            for part in sliced(batch.filter(pa.array(hit == 1)), 2_000_000):
+            for part in sliced(batch.filter(pa.array(hit == 1)), 1_000_000):
                 sets = shingle_sets(part.column("text").to_pylist())
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
