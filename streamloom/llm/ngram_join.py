@@ -31,7 +31,8 @@ from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced
 
 SHINGLE = 5
 PERCENT = 80
-SLOTS = 1 << 21
+SLOTS = 1 << 22
+_QUARTER = np.uint64(1 << 62)
 BLOCKS = 64
 FILTER_WORDS = 1 << 17
 CACHED = 20_000
@@ -89,15 +90,17 @@ def needed(n: int) -> int:
 def frequency_levels(rows: DataFrame) -> np.ndarray:
     """For each of SLOTS slots of shingle hashes, 0 if its documents are no more than chance gives, else 1 + log2 of the excess.
 
-    Every partition counts into SLOTS counters; partial counters are added up block by block. The order of shingles only
-    affects speed: any order gives the same result."""
+    Only the lowest quarter of the hashes is counted: in the order by hash, prefixes (a fifth of a set) lie there. Every
+    partition counts into SLOTS counters; partial counters are added up block by block. The order of shingles only affects
+    speed: any order gives the same result."""
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
+        total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for part in sliced(batch, 1_000_000):
-                sets = shingle_sets(part.column("text").to_pylist())
-                total += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                low = np.concatenate(shingle_sets(part.column("text").to_pylist()))
+                slots, n = np.unique(low[low < _QUARTER] & np.uint64(SLOTS - 1), return_counts=True)
+                total[slots.astype(np.int64)] += n.astype(np.uint32)
         blocks = [b.astype("<u4").tobytes() for b in np.split(total, BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
@@ -106,15 +109,16 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["block", "counts"])
+        for block, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    found = rows.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect()
-    total = np.zeros((BLOCKS, SLOTS // BLOCKS), np.int64)
-    for r in found:
+    found = rows.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema)
+    total = np.zeros((BLOCKS, SLOTS // BLOCKS), np.uint32)
+    for r in found.toLocalIterator():
         total[r.block] = np.frombuffer(r.counts, np.int64)
     load = total.mean()
-    excess = total.ravel() - (load + 8 * np.sqrt(load) + 16)
+    excess = total.ravel() - np.float32(load + 5 * np.sqrt(load) + 6)
     return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
 
 
@@ -127,7 +131,8 @@ def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                 sets = shingle_sets(part.column("text").to_pylist())
                 classes, groups, prefixes = [], [], []
                 for s in sets:
-                    keys = (levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                    level = np.where(s < _QUARTER, levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)], 0)
+                    keys = (level.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                     p = len(s) - needed(len(s)) + 1 if len(s) else 0
                     first = np.sort(np.partition(keys, p - 1)[:p] if p < len(s) else keys)
                     classes.append(_short(s.tobytes()))
