@@ -32,7 +32,6 @@ from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 22
-_QUARTER = np.uint64(1 << 62)
 BLOCKS = 64
 FILTER_WORDS = 1 << 17
 CACHED = 20_000
@@ -90,16 +89,15 @@ def needed(n: int) -> int:
 def frequency_levels(rows: DataFrame) -> np.ndarray:
     """For each of SLOTS slots of shingle hashes, 0 if its documents are no more than chance gives, else 1 + log2 of the excess.
 
-    Only the lowest quarter of the hashes is counted: in the order by hash, prefixes (a fifth of a set) lie there. Every
-    partition counts into SLOTS counters; partial counters are added up block by block. The order of shingles only affects
-    speed: any order gives the same result."""
+    Every partition counts into SLOTS counters; partial counters are added up block by block. The order of shingles only
+    affects speed: any order gives the same result."""
 
     def count(batches):
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             for part in sliced(batch, 1_000_000):
-                low = np.concatenate(shingle_sets(part.column("text").to_pylist()))
-                slots, n = np.unique(low[low < _QUARTER] & np.uint64(SLOTS - 1), return_counts=True)
+                found = np.concatenate(shingle_sets(part.column("text").to_pylist()))
+                slots, n = np.unique(found & np.uint64(SLOTS - 1), return_counts=True)
                 total[slots.astype(np.int64)] += n.astype(np.uint32)
         blocks = [b.astype("<u4").tobytes() for b in np.split(total, BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
@@ -131,7 +129,7 @@ def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                 sets = shingle_sets(part.column("text").to_pylist())
                 classes, groups, prefixes = [], [], []
                 for s in sets:
-                    level = np.where(s < _QUARTER, levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)], 0)
+                    level = levels[(s & np.uint64(SLOTS - 1)).astype(np.int64)]
                     keys = (level.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                     p = len(s) - needed(len(s)) + 1 if len(s) else 0
                     first = np.sort(np.partition(keys, p - 1)[:p] if p < len(s) else keys)
