@@ -148,20 +148,20 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = names.withColumn("nth", nth)
     order = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
     plan = plan.join(names, "nth").withColumn("_copy", order("doc_id", "nth", "size"))
-    rows = docs.select("*", *key).withColumn("_copy", order("_id", "_source", "_size"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_whole"), *key).withColumn("_copy", order("_id", "_source", "_size"))
     plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("_copy").alias("p_copy"), "size", "first", "shard_size", "blocks", "each", "extra", "step", "turn", "taken")
     met = rows.join(plan, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_size") == F.col("size")) & (F.col("_copy") == F.col("p_copy")))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.col("_whole"), F.lit(WORD), F.lit(0))
     chosen = F.filter(block_range(), lambda j: is_extra(j) & (overlap(j) > 0))
     start = lambda j: F.greatest(block_edge(j) - F.col("first"), F.lit(0).cast("long"))
     part = F.array_join(F.flatten(F.transform(chosen, lambda j: F.slice(F.col("_words"), (start(j) + 1).cast("int"), overlap(j).cast("int")))), " ")
     more = F.col("taken") - F.col("size") * F.col("each")
     met = met.withColumn("_words", F.when((more > 0) & (more < F.col("size")), words))
-    rest = F.when(more == F.col("size"), F.array(F.col(text_col))).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col(text_col), F.col("each").cast("int")), rest)
+    rest = F.when(more == F.col("size"), F.array(F.col("_whole"))).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(F.col("_whole"), F.col("each").cast("int")), rest)
     made = met.withColumn("_text", F.explode(texts))
     changed = {text_col: F.col("_text"), chars_col: F.char_length("_text").cast("long")}
-    return made.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+    return made.select(*(changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
