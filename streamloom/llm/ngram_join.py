@@ -6,11 +6,12 @@ or more share a shingle among the first n - ceil(0.8 n) + 1 of each, their prefi
 
 * Documents with equal sets form a class; classes with equal prefixes and sizes form a group. Only groups, one row per prefix
   shingle, meet in the join, so copies cost nothing however many they are.
-* First round: in every list of groups that share a shingle, each is paired with the list's smallest only, a linear number of
-  pairs. What verifies is linked, and components are built.
+* First round: in every list of groups that share a shingle, each is paired only with the one that shares most with others
+  over all its lists, a linear number of pairs. What verifies is linked, and components are built.
 * Second round, which makes the result exact: pairs of groups that share a shingle and are not yet connected. Of each list
   only entries outside its most common component are paired with the others, so a cluster of near copies that is connected
-  already makes no pairs among itself.
+  already makes no pairs among itself. Two sets that need an overlap of k share a shingle among the first n - k + 1 of each:
+  only entries that early, for their two sizes, meet. Classes of one group that are still apart meet each other.
 * A pair of groups is expanded to its members, and these are verified on their whole sets, if the number of prefix shingles
   they share allows the similarity (an exact bound).
 
@@ -35,6 +36,8 @@ SLOTS = 1 << 22
 BLOCKS = 64
 FILTER_WORDS = 1 << 17
 CACHED = 20_000
+#: Sketch level (1 + log2 of the excess) from which a list counts as long.
+LONG_LIST = 8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
 
@@ -154,6 +157,11 @@ def _similar_sizes(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
 
 
+def _least_overlap(a: Column, b: Column) -> Column:
+    """The least overlap that sets of a and b need for similarity 0.8, a whole number."""
+    return F.floor(((a + b) * PERCENT + (99 + PERCENT)) / (100 + PERCENT)).cast("long")
+
+
 def _may_link(shared: Column, a: Column, b: Column) -> Column:
     """Shared prefix shingles + the longer rest beyond a prefix reach the overlap that similarity 0.8 needs."""
     rest = F.ceil(F.greatest(a, b) * PERCENT / 100.0) - 1
@@ -214,6 +222,36 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select(F.col("v").alias("class"), F.col("l").alias("comp"))
 
 
+def _shared_posts(posts: DataFrame) -> DataFrame:
+    """Posts (token, grp, n, pos) of the tokens that more than one group has, with that number m.
+
+    Lists of tokens that the sketch finds frequent can be long: these are counted by aggregation, so that no task gets a whole
+    list; the others are counted by a window, in one shuffle."""
+    columns = ("token", "grp", "n", "pos", "m")
+    long_list = F.shiftrightunsigned("token", 58) >= LONG_LIST
+    short = posts.filter(~long_list).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1")
+    frequent = posts.filter(long_list)
+    counts = frequent.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    return short.select(*columns).union(frequent.join(counts, "token").select(*columns))
+
+
+def _heads(posts: DataFrame) -> DataFrame:
+    """token, head, head_n: of every list the group that shares most with others over all its lists. In a cluster of edited
+    copies that is the least edited one, and most others link with it."""
+    weights = posts.groupBy("grp").agg(F.sum("m").alias("w"))
+    head = F.max(F.struct("w", "grp", "n")).alias("x")
+    return posts.join(weights, "grp").groupBy("token").agg(head).select("token", F.col("x.grp").alias("head"), F.col("x.n").alias("head_n"))
+
+
+def _with_enough_shared(met: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs (pg, qg) of groups whose whole prefixes share as much as similarity 0.8 needs."""
+    ends = met.select(F.explode(F.array("pg", "qg")).alias("grp")).distinct()
+    known = signed.join(ends, "grp", "left_semi").groupBy("grp").agg(F.first("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    side = lambda s: known.select(F.col("grp").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("prefix").alias(f"{s}prefix"))
+    pairs = met.join(side("p"), "pg").join(side("q"), "qg")
+    return pairs.filter(_may_link(F.size(F.array_intersect("pprefix", "qprefix")), F.col("pn"), F.col("qn"))).select(*met.columns)
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row.
 
@@ -225,13 +263,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = signed.filter("n > 0")
     classes = settle(full.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("grp").alias("grp")), "ngram-classes")
     groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    posts = groups.select("grp", "n", F.explode("prefix").alias("token"))
-    of_token = Window.partitionBy("token")
-    posts = posts.withColumn("m", F.count(F.lit(1)).over(of_token)).withColumn("head", F.min(F.struct("grp", "n")).over(of_token)).filter("m > 1")
-    posts = settle(posts.select("token", "grp", "n", F.col("head.grp").alias("head"), F.col("head.n").alias("head_n")), "ngram-posts")
+    posts = settle(_shared_posts(groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))), "ngram-posts")
 
     first = classes.groupBy("grp").agg(F.min("class").alias("first"))
-    starred = posts.filter((F.col("grp") != F.col("head")) & _similar_sizes(F.col("n"), F.col("head_n"))).groupBy("head", "grp").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("head_n").alias("head_n"))
+    starred = posts.join(_heads(posts), "token").filter((F.col("grp") != F.col("head")) & _similar_sizes(F.col("n"), F.col("head_n"))).groupBy("head", "grp").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("head_n").alias("head_n"))
     starred = starred.filter(_may_link(F.col("shared"), F.col("n"), F.col("head_n")))
     starred = starred.join(first.select(F.col("grp").alias("head"), F.col("first").alias("a")), "head").join(first.select("grp", F.col("first").alias("b")), "grp").select("a", "b")
     within = classes.join(first, "grp").filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
@@ -240,19 +275,24 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = components(links)
     placed = settle(classes.join(known, "class", "left").select("class", "id", "n", "grp", F.coalesce("comp", "class").alias("comp")), "ngram-placed")
     parts = placed.select("grp", "comp").distinct()
-    split = posts.select("token", "grp", "n").join(parts, "grp")
-    split = split.withColumn("low", F.min("comp").over(of_token)).withColumn("high", F.max("comp").over(of_token)).filter("low <> high").drop("low", "high")
-    split = settle(split, "ngram-split")
-    more = None
-    if not split.isEmpty():
-        main = split.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("x")).select("token", F.col("x.comp").alias("main"))
-        split = split.join(main, "token").withColumn("minor", F.col("comp") != F.col("main"))
+    split = settle(posts.select("token", "grp", "n", "pos").join(parts, "grp"), "ngram-split")
+    apart = parts.groupBy("grp").count().filter("count > 1").select("grp")
+    apart = settle(parts.join(apart, "grp"), "ngram-apart")
+    if not (split.isEmpty() and apart.isEmpty()):
+        # lists of more than one component, and the component that most of their entries are in
+        main = split.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"))
+        split = split.join(main.filter("comps > 1").select("token", F.col("x.comp").alias("main")), "token").withColumn("minor", F.col("comp") != F.col("main"))
         left, right = split.alias("x"), split.filter("minor").alias("y")
         order = ~F.col("x.minor") | (F.struct("x.grp", "x.comp") < F.struct("y.grp", "y.comp"))
-        met = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & order & _similar_sizes(F.col("x.n"), F.col("y.n")))
-        ends = [F.struct(F.col(f"{s}.grp").alias("grp"), F.col(f"{s}.comp").alias("comp"), F.col(f"{s}.n").alias("n")) for s in "xy"]
-        met = met.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).groupBy("p", "q").agg(F.count(F.lit(1)).alias("shared"))
-        met = met.filter(_may_link(F.col("shared"), F.col("p.n"), F.col("q.n"))).select(F.col("p.grp").alias("pg"), F.col("p.comp").alias("pc"), F.col("q.grp").alias("qg"), F.col("q.comp").alias("qc"))
+        least = _least_overlap(F.col("x.n"), F.col("y.n"))
+        early = (F.col("x.pos") <= F.col("x.n") - least) & (F.col("y.pos") <= F.col("y.n") - least)
+        met = left.join(right, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") != F.col("y.grp")) & (F.col("x.comp") != F.col("y.comp")) & order & _similar_sizes(F.col("x.n"), F.col("y.n")) & early)
+        ends = [F.struct(F.col(f"{s}.grp").alias("grp"), F.col(f"{s}.comp").alias("comp")) for s in "xy"]
+        met = met.select(F.least(*ends).alias("p"), F.greatest(*ends).alias("q")).distinct()
+        met = settle(met.select(F.col("p.grp").alias("pg"), F.col("p.comp").alias("pc"), F.col("q.grp").alias("qg"), F.col("q.comp").alias("qc")), "ngram-met")
+        own = apart.alias("x").join(apart.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.comp") < F.col("y.comp")))
+        own = own.select(F.col("x.grp").alias("pg"), F.col("x.comp").alias("pc"), F.col("y.grp").alias("qg"), F.col("y.comp").alias("qc"))
+        met = _with_enough_shared(met, full).union(own)
         member = placed.select("class", "grp", "comp")
         more = met.join(member.select(F.col("class").alias("a"), F.col("grp").alias("pg"), F.col("comp").alias("pc")), ["pg", "pc"]).join(member.select(F.col("class").alias("b"), F.col("grp").alias("qg"), F.col("comp").alias("qc")), ["qg", "qc"])
         links2 = verified(more.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, classes)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.llm import byte_bpe, chat, exact_dedup, fingerprints, lm, mixing, ngram_join, pii, quality, token_count
+from streamloom.llm.common import ascii_lower_py
 
 tokenizers = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, norm string, n long, class long, size long, keep_id long"
@@ -100,27 +101,49 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint(empty).count() == 0
 
 
+def brute_components(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower_py(t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp, before = {i: i for i in sets}, None
+    while comp != before:
+        before = dict(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    return {(i, len(s), comp[i]) for i, s in sets.items()}
+
+
 def test_ngram_join(spark, docs, empty):
     base = [f"t{i}" for i in range(100)]
     more = [(100 + k, " ".join(base[:k] + ["new"] + base[k + 1 :])) for k in range(0, 100, 9)] + [(300, " ".join(base)), (301, " ".join(base).upper()), (302, " ".join(base[:60]))]
     texts = [(i, t) for i, t, _ in TEXTS if i is not None] + more
     both = spark.createDataFrame(texts, "doc_id long, text string")
-    sets = {}
-    for i, t in texts:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
-    comp = {i: i for i in sets}
-    for _ in range(20):
-        for a in sets:
-            for b in sets:
-                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
     rows = ngram_join.ngram_join(both).collect()
     assert len(rows) == len(texts)
-    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(s), comp[i]) for i, s in sets.items()}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
     assert ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_of_clusters_and_short_texts(spark):
+    """Edited copies of which many link with none, chains, and short texts whose rarest shingles agree though they don't link."""
+    rng, texts = np.random.default_rng(3), []
+    for length, copies, edits in ((60, 60, 4), (150, 60, 6), (13, 60, 2), (14, 30, 3)):
+        base = [f"b{length}x{i}" for i in range(length)]
+        for _ in range(copies):
+            own = list(base)
+            for k in rng.integers(0, length, rng.integers(0, edits + 1)):
+                own[k] = f"e{rng.integers(0, 4)}"
+            texts.append(own[: length - rng.integers(0, 3)])
+    for k in range(40):
+        texts.append([f"c{i}" for i in range(3 * k, 3 * k + 80)])
+        texts.append([f"h{i}" for i in range(9)] + [f"v{k % 6}", f"v{k % 5}", f"v{k % 7}", f"v{k}"][: 1 + k % 4])
+    texts = [(int(i), " ".join(t)) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
+    rows = ngram_join.ngram_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == brute_components(texts)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a <|end|> \\ <\\| |> x"), (1, 1, "assistant", "<|turn:user|>\\"), (1, 2, "assistant", None), (2, 0, None, "<"), (2, 0, None, "<"), (3, 0, "end|>", "")]
     c = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
