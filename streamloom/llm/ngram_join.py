@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by a grouped prefix join.
 
-Every document is the set of its distinct 5-word shingles (as 64-bit hashes). All shingles have one global order: those that a
-fixed-size sketch of document frequencies finds frequent come last, by frequency, the rest by hash. Two sets of similarity 0.8
+Every document is the set of its distinct 5-word shingles (as 64-bit hashes). All shingles have one global order: by
+the level of their document frequency in a sketch of fixed size, then by hash. Two sets of similarity 0.8
 or more share a shingle among the first n - ceil(0.8 n) + 1 of each, their prefixes.
 
 * Documents with equal sets form a class; classes with equal prefixes and sizes form a group. Only groups, one row per prefix
@@ -36,8 +36,9 @@ SLOTS = 1 << 22
 BLOCKS = 64
 FILTER_WORDS = 1 << 17
 CACHED = 20_000
-#: Sketch level (1 + log2 of the excess) from which a list counts as long.
-LONG_LIST = 8
+FINE = 32
+#: Sketch level from which a list counts as long: 2^8 deviations above what chance gives.
+LONG_LIST = FINE + 8
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(2**63)
 
@@ -90,7 +91,9 @@ def needed(n: int) -> int:
 
 
 def frequency_levels(rows: DataFrame) -> np.ndarray:
-    """For each of SLOTS slots of shingle hashes, 0 if its documents are no more than chance gives, else 1 + log2 of the excess.
+    """For each of SLOTS slots of shingle hashes, a level from 0 to 63 that rises with its count of documents: in quarters of the
+    deviation that chance gives up to FINE, by its logarithm above. A set's prefix is from its emptiest slots, and a shingle
+    has no more documents than its slot counts.
 
     Every partition counts into SLOTS counters; partial counters are added up block by block. The order of shingles only
     affects speed: any order gives the same result."""
@@ -119,8 +122,9 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
     for r in found.toLocalIterator():
         total[r.block] = np.frombuffer(r.counts, np.int64)
     load = total.mean()
-    excess = total.ravel() - np.float32(load + 5 * np.sqrt(load) + 6)
-    return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)), 0).astype(np.uint8)
+    above = (total.ravel() - np.float32(load)) / np.float32(np.sqrt(max(load, 1)))
+    fine = np.clip(FINE // 2 + 4 * above, 0, FINE)
+    return np.minimum(fine + np.log2(np.maximum(above - FINE // 8 + 1, 1)), 63).astype(np.uint8)
 
 
 def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
