@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.functions.changepoint import Changepoints
 from streamloom.functions.detectors import Conformal, Cusum, Ewma, fixed_cusum, fnv1a
 
 
@@ -84,3 +85,15 @@ def baseline_asof(messages: DataFrame, stream_id: int, ts_ns: int, alpha: float
     """mean, variance of a stream at a time: a fresh fold over what had arrived with an earlier or equal time."""
     seen = messages.filter((F.col("stream_id") == stream_id) & (F.col("ts_ns") <= ts_ns))
     return detect(seen, Profile(ewma_alpha=alpha)).groupBy("stream_id").agg(F.max_by("mean", "pos").alias("mean"), F.max_by("variance", "pos").alias("variance"))
+
+
+def changepoints(messages: DataFrame, **options) -> DataFrame:
+    """pos, stream_id, run_length (the likeliest), recent (probability of a change within the last values), fired."""
+
+    def fold(rows):
+        rows = rows.sort_values("pos", ignore_index=True)
+        detector = Changepoints(**options)
+        rows[["run_length", "recent", "fired"]] = [detector.check(x) for x in rows["value"].tolist()]
+        return rows.drop(columns="value")
+
+    return messages.select("pos", "stream_id", "value").groupBy("stream_id").applyInPandas(fold, "pos long, stream_id long, run_length long, recent double, fired boolean")

@@ -101,6 +101,7 @@ QUERIES = {
     "cusum_state": lambda s, d: fold.detect(messages(s, d), PROFILE).select("pos", "cusum_high", "cusum_low", "cusum_fired"),
     "conformal_threshold": lambda s, d: fold.detect(messages(s, d), PROFILE).select("pos", F.when(F.col("threshold") < float("inf"), F.col("threshold")).alias("threshold"), "anomalous"),
     "fixed_cusum": lambda s, d: fold.fixed_cusum_fires(messages(s, d), k=0.5, h=5.0, mu=50.0, sigma=50.0, min_gap=10),
+    "bocpd_map_run": lambda s, d: fold.changepoints(messages(s, d), mu=50.0, beta=2500.0),
     "pipeline_alerts": lambda s, d: found(s, d).select("id", "stream_id", "ts_ns", "layer"),
     "alert_counts_by_layer": lambda s, d: found(s, d).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "alerts_latest_n": lambda s, d: engine.latest(found(s, d), 20).select("id", "stream_id", "ts_ns", "layer"),
