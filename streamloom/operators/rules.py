@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamloom.operators.order import running
+
 RULES = "stream_id long, min double, max double, max_rate_of_change double"
 
 
 def check_rules(messages: DataFrame, rules: DataFrame) -> DataFrame:
     """Add rule_result: out_of_bounds, else rate_of_change when time advanced and the rate is larger, else ok. Streams
     without a rule are ok. One row per configured stream: a rule table is small by nature."""
-    own = Window.partitionBy("stream_id").orderBy("pos")
     rate = F.abs(F.col("value") - F.col("prev")) / ((F.col("ts_ns") - F.col("prev_ts")).cast("double") / F.lit(1e9))
-    m = messages.withColumn("prev", F.lag("value").over(own)).withColumn("prev_ts", F.lag("ts_ns").over(own))
+    m = running(messages, "before", F.struct("value", "ts_ns"), "last", keys=("stream_id",))
+    m = m.withColumn("prev", F.col("before.value")).withColumn("prev_ts", F.col("before.ts_ns"))
     m = m.join(F.broadcast(rules.dropDuplicates(["stream_id"])), "stream_id", "left")
     result = F.when((F.col("value") < F.col("min")) | (F.col("value") > F.col("max")), "out_of_bounds")
     result = result.when(F.col("prev_ts").isNotNull() & (F.col("ts_ns") > F.col("prev_ts")) & F.when(F.col("ts_ns") > F.col("prev_ts"), rate > F.col("max_rate_of_change")), "rate_of_change")

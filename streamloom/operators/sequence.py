@@ -1,15 +1,16 @@
-"""Order within streams: duplicates, gaps, sequence numbers, registries, reconnects. Windows only; `pos` is arrival order."""
+"""Order within streams: duplicates, gaps, sequence numbers, registries, reconnects. `pos` is arrival order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamloom.operators.order import numbered, running
 
-def accept(messages: DataFrame, by: str = "seq", keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+
+def accept(messages: DataFrame, by: str = "seq", keys: tuple[str, ...] = ("stream_id",), levels: int = 1) -> DataFrame:
     """Add last (the largest accepted value so far) and accepted. Drops never move it, so it is a running maximum."""
-    before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = messages.withColumn("last", F.max(by).over(before))
+    marked = running(messages, "last", F.col(by), "max", keys=keys, levels=levels)
     return marked.withColumn("accepted", F.col("last").isNull() | (F.col(by) > F.col("last")))
 
 
@@ -23,10 +24,10 @@ def time_gaps(messages: DataFrame, most_ns: int = 1_000_000_000) -> DataFrame:
     return found.select("stream_id", F.col("last").alias("from_ts"), F.col("ts_ns").alias("to_ts"), "pos")
 
 
-def number(messages: DataFrame, key: str = "stream_id") -> DataFrame:
-    """Sequence numbers from 1 over accepted rows."""
-    kept = accept(messages, "ts_ns", (key,)).filter("accepted").drop("last", "accepted")
-    return kept.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("pos")).cast("long"))
+def number(messages: DataFrame, key: str = "stream_id", levels: int = 1) -> DataFrame:
+    """Sequence numbers from 1 over accepted rows. Sparse positions, such as those of samples within polls, want 2 levels."""
+    kept = accept(messages, "ts_ns", (key,), levels).filter("accepted").drop("last", "accepted")
+    return numbered(kept, "seq", keys=(key,), levels=levels)
 
 
 def register(rows: DataFrame, key: str, most: int, base: int = 0) -> DataFrame:
@@ -37,9 +38,6 @@ def register(rows: DataFrame, key: str, most: int, base: int = 0) -> DataFrame:
 
 
 def epochs(rows: DataFrame, is_reset: str = "is_reset") -> DataFrame:
-    """Number of resets at or before each row; the resets, few, are numbered and joined by range."""
-    marks = rows.filter(F.col(is_reset)).select(F.col("pos").alias("reset_pos"))
-    ranked = marks.withColumn("epoch", F.row_number().over(Window.orderBy("reset_pos")).cast("long"))
-    spans = ranked.withColumn("until", F.lead("reset_pos", 1, 2**63 - 1).over(Window.orderBy("reset_pos")))
-    met = rows.join(spans, (rows["pos"] >= spans["reset_pos"]) & (rows["pos"] < spans["until"]), "left")
-    return met.withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("long"))).drop("reset_pos", "until")
+    """Number of resets at or before each row."""
+    own = F.col(is_reset).cast("long")
+    return running(rows, "epoch", own, "sum").withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("long")) + F.coalesce(own, F.lit(0).cast("long")))

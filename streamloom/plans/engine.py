@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.operators.fold import Profile, detect
+from streamloom.operators.order import numbered, settle
 from streamloom.operators.rules import check_rules
 
 LAYERS = {"rules": 1, "cusum": 2, "conformal": 3}
 
 
-def alerts(messages: DataFrame, rules: DataFrame, profile: Profile = Profile()) -> DataFrame:  # noqa: B008
-    """id, stream_id, ts_ns, layer, detail in order of arrival, then of layers. Numbering is over alerts only, which are few."""
+def raised(messages: DataFrame, rules: DataFrame, profile: Profile = Profile()) -> DataFrame:  # noqa: B008
+    """pos, stream_id, ts_ns, layer, detail of all alerts, not numbered."""
     ruled = check_rules(messages, rules).filter("rule_result <> 'ok'").select("pos", "stream_id", "ts_ns", F.lit("rules").alias("layer"), F.col("rule_result").alias("detail"))
     folded = detect(messages, profile).filter("cusum_fired OR anomalous")
     score = F.format_string("score=%.4f>thr=%.4f", F.abs("z"), "threshold")
     kinds = F.array(F.struct(F.lit("cusum").alias("layer"), F.lit("changepoint").alias("detail"), F.col("cusum_fired").alias("on")), F.struct(F.lit("conformal").alias("layer"), score.alias("detail"), F.col("anomalous").alias("on")))
     found = folded.select("pos", "stream_id", "ts_ns", F.explode(F.filter(kinds, lambda k: k["on"])).alias("k")).select("pos", "stream_id", "ts_ns", "k.layer", "k.detail")
-    rank = F.when(F.col("layer") == "rules", 1).when(F.col("layer") == "cusum", 2).otherwise(3)
-    both = ruled.unionByName(found)
-    return both.withColumn("id", F.row_number().over(Window.orderBy("pos", rank)).cast("long")).select("id", "stream_id", "ts_ns", "layer", "detail")
+    return ruled.unionByName(found)
+
+
+def alerts(messages: DataFrame, rules: DataFrame, profile: Profile = Profile()) -> DataFrame:  # noqa: B008
+    """id, stream_id, ts_ns, layer, detail in order of arrival, then of layers. Alerts are settled before they are numbered."""
+    rank = F.element_at(F.create_map(*(F.lit(x) for kind in LAYERS.items() for x in kind)), F.col("layer"))
+    ranked = settle(raised(messages, rules, profile).withColumn("rank", rank))
+    return numbered(ranked, "id", ties=("rank",)).select("id", "stream_id", "ts_ns", "layer", "detail")
 
 
 def latest(found: DataFrame, limit: int = 100) -> DataFrame:

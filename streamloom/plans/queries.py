@@ -66,7 +66,7 @@ def _polls(spark, d):
     m = messages(spark, d)
     sample = F.struct(F.date_format(F.timestamp_micros(F.expr("ts_ns DIV 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("ts"), "value")
     raw = m.groupBy(F.floor(F.col("pos") / 10).alias("pos")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(sample)).alias("data"))).alias("raw"))
-    return sequence.number(frames.grid_polls(raw, 7)).select("stream_id", "ts_ns", "value", "seq")
+    return sequence.number(frames.grid_polls(raw, 7), levels=2).select("stream_id", "ts_ns", "value", "seq")
 
 
 def _tickers(spark, d):
@@ -103,7 +103,7 @@ QUERIES = {
     "fixed_cusum": lambda s, d: fold.fixed_cusum_fires(messages(s, d), k=0.5, h=5.0, mu=50.0, sigma=50.0, min_gap=10),
     "bocpd_map_run": lambda s, d: fold.changepoints(messages(s, d), mu=50.0, beta=2500.0),
     "pipeline_alerts": lambda s, d: found(s, d).select("id", "stream_id", "ts_ns", "layer"),
-    "alert_counts_by_layer": lambda s, d: found(s, d).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
+    "alert_counts_by_layer": lambda s, d: engine.raised(messages(s, d), rule_table(s), PROFILE).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "alerts_latest_n": lambda s, d: engine.latest(found(s, d), 20).select("id", "stream_id", "ts_ns", "layer"),
     "alerts_concurrent": _concurrent,
     "window_slice": _slice,
@@ -173,6 +173,21 @@ SQL = {
     "alerts_latest_n": f"WITH {_ALERTS} SELECT * FROM al ORDER BY id DESC LIMIT 20",
     "alerts_concurrent": f"WITH {_ALERTS} SELECT * FROM al WHERE ts_ns BETWEEN (SELECT min(ts_ns) FROM m) AND (SELECT min(ts_ns) FROM m) + 6000 * 1000000000::BIGINT",
     "window_slice": f"WITH {_M} SELECT ts_ns, value FROM m WHERE stream_id = 1 AND ts_ns BETWEEN (SELECT min(ts_ns) FROM m) + 60000000000 AND (SELECT min(ts_ns) FROM m) + 6000000000000",
+    "fixed_cusum": f"""WITH {_M}, o AS (SELECT stream_id, pos, (value - 5e1) / 5e1 AS z, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS rn FROM m),
+      g AS (WITH RECURSIVE g(stream_id, rn, pos, up, down, quiet, fired) AS (
+        SELECT stream_id, 0::BIGINT, -1::BIGINT, 0e0, 0e0, 10::BIGINT, false FROM o WHERE rn = 1
+        UNION ALL
+        SELECT stream_id, rn, pos, CASE WHEN fire THEN 0e0 ELSE up END, CASE WHEN fire THEN 0e0 ELSE down END, CASE WHEN fire THEN 0 ELSE quiet + 1 END, fire FROM (
+          SELECT *, (up > 5 OR down > 5) AND quiet >= 10 AS fire FROM (
+            SELECT o.stream_id, o.rn, o.pos, greatest(0e0, g.up + o.z - 5e-1) AS up, greatest(0e0, g.down - o.z - 5e-1) AS down, g.quiet
+            FROM g JOIN o ON o.stream_id = g.stream_id AND o.rn = g.rn + 1))
+      ) SELECT * FROM g) SELECT stream_id, pos FROM g WHERE fired""",
+    "baseline_asof": f"""WITH {_M}, o AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn FROM m WHERE stream_id = 1 AND ts_ns <= (SELECT min(ts_ns) FROM m) + 3000 * 1000000000::BIGINT),
+      b AS (WITH RECURSIVE b(rn, mean, variance) AS (
+        SELECT 0::BIGINT, 0e0, 0e0
+        UNION ALL
+        SELECT o.rn, (1e0 - 3e-1) * mean + 3e-1 * value, (1e0 - 3e-1) * variance + 3e-1 * (value - mean) * (value - mean) FROM b JOIN o ON o.rn = b.rn + 1
+      ) SELECT * FROM b) SELECT 1::BIGINT AS stream_id, mean, variance FROM b WHERE rn > 0 ORDER BY rn DESC LIMIT 1""",
     "stream_stats": f"WITH {_M} SELECT stream_id, count(*) AS processed, arg_max(ts_ns, pos) AS last_ts_ns, max(seq) AS last_seq FROM m GROUP BY stream_id",
     "fault_inject": f"WITH {_FAULTS} SELECT * FROM x",
     "fault_labels": f"WITH {_FAULTS} SELECT * FROM la",
