@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.functions.detectors import splitmix64
+from streamloom.operators.order import numbered, settle
 
 RESOLVED = "spec_idx int, type string, stream_id long, onset long, last long, duration long, magnitude double"
 
@@ -31,16 +32,18 @@ def inject(messages: DataFrame, specs: list[tuple], seed: int = 0) -> tuple[Data
     """(messages with faults, labels). Every value fault reads the original value, the last one of the list wins, and a
     dropout removes its rows whatever else hits them. Times and sequence numbers stay."""
     spark = messages.sparkSession
-    found = spark.createDataFrame(resolve(messages, specs, seed), RESOLVED)
-    placed = messages.withColumn("j", F.row_number().over(Window.partitionBy("stream_id").orderBy("pos")).cast("long") - 1)
+    resolved = resolve(messages, specs, seed)
+    found, streams = spark.createDataFrame(resolved, RESOLVED), {r[2] for r in resolved}
+    placed = numbered(messages.filter(F.col("stream_id").isin(*streams) if streams else F.lit(False)), "j", keys=("stream_id",)).withColumn("j", F.col("j") - 1)
     m, f = placed.alias("m"), F.broadcast(found).alias("f")  # a row per spec, given as a list
-    hit = m.join(f, (F.col("m.stream_id") == F.col("f.stream_id")) & F.col("m.j").between(F.col("f.onset"), F.col("f.last")))
-    at_onset = placed.alias("m").join(f, (F.col("m.stream_id") == F.col("f.stream_id")) & (F.col("m.j") == F.col("f.onset"))).select("f.spec_idx", F.col("m.value").alias("held"), F.col("m.ts_ns").alias("t_start_ns"))
-    drift = F.col("m.value") + F.col("f.magnitude") * ((F.col("m.j") - F.col("f.onset") + 1).cast("double") / F.col("f.duration").cast("double"))
-    value = F.when(F.col("type") == "spike", F.col("m.value") + F.col("f.magnitude")).when(F.col("type") == "drift", drift).when(F.col("type") == "stuck_at_value", F.col("held"))
-    changed = hit.join(F.broadcast(at_onset.select("spec_idx", "held")), "spec_idx").select("m.pos", "spec_idx", "type", value.alias("new"))
+    met = m.join(f, (F.col("m.stream_id") == F.col("f.stream_id")) & F.col("m.j").between(F.col("f.onset"), F.col("f.last")))
+    hit = settle(met.select("m.*", *(F.col(f"f.{c}") for c in ("spec_idx", "type", "onset", "last", "duration", "magnitude"))))  # the specs' durations bound it
+    at_onset = hit.filter("j = onset").select("spec_idx", F.col("value").alias("held"), F.col("ts_ns").alias("t_start_ns"))
+    drift = F.col("value") + F.col("magnitude") * ((F.col("j") - F.col("onset") + 1).cast("double") / F.col("duration").cast("double"))
+    value = F.when(F.col("type") == "spike", F.col("value") + F.col("magnitude")).when(F.col("type") == "drift", drift).when(F.col("type") == "stuck_at_value", F.col("held"))
+    changed = hit.join(F.broadcast(at_onset.select("spec_idx", "held")), "spec_idx").select("pos", "spec_idx", "type", value.alias("new"))
     per_row = changed.groupBy("pos").agg(F.max(F.when(F.col("type") != "dropout", F.struct("spec_idx", "new"))).alias("x"), F.max(F.col("type") == "dropout").alias("gone"))
     out = messages.join(per_row, "pos", "left").filter("gone IS NULL OR NOT gone").withColumn("value", F.coalesce("x.new", "value")).select(*messages.columns)
-    ends = placed.alias("m").join(f, (F.col("m.stream_id") == F.col("f.stream_id")) & (F.col("m.j") == F.col("f.last"))).select("f.spec_idx", "f.stream_id", "f.type", F.col("m.ts_ns").alias("t_end_ns"))
+    ends = hit.filter("j = last").select("spec_idx", "stream_id", "type", F.col("ts_ns").alias("t_end_ns"))
     labels = ends.join(at_onset.select("spec_idx", "t_start_ns"), "spec_idx").select(F.col("spec_idx").alias("label_idx"), "stream_id", "type", "t_start_ns", "t_end_ns")
     return out, labels
