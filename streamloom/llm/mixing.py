@@ -7,7 +7,8 @@
 3. Blocks to take are apportioned to sources, then to the shards of a source, by highest quotients v, v/3, v/5, ...: integer
    quotas. Only quotients near the cut are ranked; the seats below it are counted directly.
 4. Within a shard a quota takes every block quota // blocks times, and once more those that a seeded affine permutation
-   picks. A document takes its words in the blocks taken.
+   picks. A document takes its words in the blocks taken. The mix itself takes as many words once more, but whole documents in
+   the shard's seeded order, so that no more than one of a shard is cut.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from streamloom.llm.common import WORD, read, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
+#: A word and the white space before it.
+SPACED_WORD = r"[\x20\x09-\x0D]*" + WORD
 BLOCK = 8
 SHARD_WORDS = 100_000
 MAX_SHARDS = 4096
@@ -138,26 +141,29 @@ def taken_words() -> Column:
     return F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("size") * F.col("each") + F.when(F.col("extra") > 0, more).otherwise(0))
 
 
+def more_words() -> Column:
+    """The words that a document gives once more to the mix itself: as many as the shard's extra blocks hold are taken from the
+    shard's start, so whole documents in seeded order, and a part of one at most."""
+    return F.when(F.col("extra") > 0, F.least(F.greatest(block_edge(F.col("extra")) - F.col("first"), F.lit(0).cast("long")), F.col("size"))).otherwise(0).cast("long")
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of docs: a document as often as its blocks are all taken, and once more with the words of
-    the blocks taken once more, if any (the whole text if that is all of them). Documents that nothing is taken from go."""
+    """The mix itself, with the columns of docs: a document as often as all blocks of its shard are taken, and once more if it is
+    among the first of its shard, whose words make up the blocks taken once more. Of the one document at the edge of those its
+    first words, as they stand in the text. Documents that nothing is taken from go."""
     key = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_in(F.col(text_col)).alias("_size")]
-    plan = mix(docs, id_col, text_col, source_col, seed).filter("taken > 0")
+    plan = mix(docs, id_col, text_col, source_col, seed).withColumn("more", more_words()).filter("size * each + more > 0")
     names = settle(docs.select(F.col(source_col).cast("string").alias("_source")).distinct(), "mixing-names")
     nth = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last()))
     names = names.withColumn("nth", nth)
     order = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
     plan = plan.join(names, "nth").withColumn("_copy", order("doc_id", "nth", "size"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_whole"), *key).withColumn("_copy", order("_id", "_source", "_size"))
-    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("_copy").alias("p_copy"), "size", "first", "shard_size", "blocks", "each", "extra", "step", "turn", "taken")
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("_copy").alias("p_copy"), "size", "each", "more")
     met = rows.join(plan, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_size") == F.col("size")) & (F.col("_copy") == F.col("p_copy")))
-    words = F.regexp_extract_all(F.col("_whole"), F.lit(WORD), F.lit(0))
-    chosen = F.filter(block_range(), lambda j: is_extra(j) & (overlap(j) > 0))
-    start = lambda j: F.greatest(block_edge(j) - F.col("first"), F.lit(0).cast("long"))
-    part = F.array_join(F.flatten(F.transform(chosen, lambda j: F.slice(F.col("_words"), (start(j) + 1).cast("int"), overlap(j).cast("int")))), " ")
-    more = F.col("taken") - F.col("size") * F.col("each")
-    met = met.withColumn("_words", F.when((more > 0) & (more < F.col("size")), words))
-    rest = F.when(more == F.col("size"), F.array(F.col("_whole"))).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
+    more = F.col("more")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_whole"), F.lit(SPACED_WORD), F.lit(0)), F.lit(1), more.cast("int")), "")
+    rest = F.when((more > 0) & (more == F.col("size")), F.array(F.col("_whole"))).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
     texts = F.concat(F.array_repeat(F.col("_whole"), F.col("each").cast("int")), rest)
     made = met.withColumn("_text", F.explode(texts))
     changed = {text_col: F.col("_text"), chars_col: F.char_length("_text").cast("long")}

@@ -196,3 +196,24 @@ def test_forward_is_exact():
             a = (a @ model.step) * model.emit[k]
         at += n
         assert got == pytest.approx(math.log10(a.sum()))
+
+
+def test_mixed_documents_are_whole(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(300):
+        text = "".join(f"{w}{' ' if k % 7 else chr(10)}" for k, w in enumerate(f"d{i}w{k}" for k in range(rng.integers(20, 60))))
+        rows.append((i, text, "abc"[i % 3], len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    target = {r.nth: r.target for r in mixing.mix(docs).collect()}
+    size, words, cut, copies = Counter(), Counter(), Counter(), Counter()
+    for i, t, s, _ in rows:
+        size[s] += len(t.split())
+    for r in mixing.mixed_documents(docs).collect():
+        whole = rows[r.doc_id][1]
+        assert whole.startswith(r.text) and r.n_chars == len(r.text)
+        copies[r.doc_id] += 1
+        words[r.source] += len(r.text.split())
+        cut[r.source] += r.text != whole
+    assert all(n <= 1 for n in cut.values()) and max(copies.values()) <= 3
+    assert min(target[1 + k] / size[s] for k, s in enumerate("abc")) < 1
+    assert all(abs(words[s] - target[1 + k]) <= 2 * mixing.BLOCK for k, s in enumerate("abc"))
