@@ -217,3 +217,10 @@ def test_mixed_documents_are_whole(spark):
     assert all(n <= 1 for n in cut.values()) and max(copies.values()) <= 3
     assert min(target[1 + k] / size[s] for k, s in enumerate("abc")) < 1
     assert all(abs(words[s] - target[1 + k]) <= 2 * mixing.BLOCK for k, s in enumerate("abc"))
+
+
+def test_drop_copies_keeps_texts_without_ids(spark):
+    rows = [(None, "only"), (None, "ONLY"), (None, "shared"), (7, "Shared"), (9, "shared"), (None, "own"), (8, "other")]
+    for keep, shared in (("min", (7, "shared")), ("max", (9, "shared"))):
+        kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), keep).collect()
+        assert Counter((r.doc_id, r.text.lower()) for r in kept) == Counter([(None, "only"), shared, (None, "own"), (8, "other")])
