@@ -128,7 +128,7 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """id, n, class (64-bit id of the set), grp (of the prefix and size), prefix of every row."""
+    """id, key (of the text), n, class (64-bit id of the set), grp (of the prefix and size), prefix of every row."""
 
     def sign(batches):
         for batch in batches:
@@ -146,11 +146,11 @@ def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["id", "n", "class", "grp", "prefix"],
+                    [part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    names=["id", "key", "n", "class", "grp", "prefix"],
                 )
 
-    return rows.mapInArrow(sign, "id long, n long, class long, grp long, prefix array<long>")
+    return rows.mapInArrow(sign, "id long, key long, n long, class long, grp long, prefix array<long>")
 
 
 def _short(data: bytes) -> int:
@@ -262,7 +262,17 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no shingles and link with nothing, not even with each other; their component is themselves. Rows
     that repeat a text are linked. A null id counts as the smallest.
     """
-    rows = plain_rows(docs, id_col, text_col)
+    signed, placed = _placed(plain_rows(docs, id_col, text_col))
+    smallest = placed.groupBy("comp").agg(F.min("id").alias("component"))
+    resolved = placed.join(smallest, "comp").select("class", "component")
+    out = signed.filter("n > 0").select("id", "n", "class").join(resolved, "class").select("id", "n", "component")
+    out = out.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and every class (class, id, n, grp) with the component (comp) that it is in."""
     signed = settle(signatures(rows, frequency_levels(rows)), "ngram-signatures")
     full = signed.filter("n > 0")
     classes = settle(full.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("grp").alias("grp")), "ngram-classes")
@@ -303,23 +313,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if not links2.isEmpty():
             known = components(links.union(links2))
             placed = classes.join(known, "class", "left").select("class", "id", "n", "grp", F.coalesce("comp", "class").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("id").alias("component"))
-    resolved = placed.join(smallest, "comp").select("class", "component")
-    out = full.select("id", "n", "class").join(resolved, "class").select("id", "n", "component")
-    out = out.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    return signed, placed
 
 
 def plain_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return in_batches(id_and_text(docs, id_col, text_col)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
+    return in_batches(id_and_text(docs, id_col, text_col)).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text", F.xxhash64("text").alias("key"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: of each component the smallest id."""
-    found = settle(ngram_join(docs, id_col, text_col), "ngram-result")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with their columns: exactly one of each component, with the smallest id (a null id loses to
+    any other). Rows are told apart by id and text, as ids may repeat. Rows without shingles stay."""
+    signed, placed = _placed(plain_rows(docs, id_col, text_col))
+    members = settle(signed.filter("n > 0").select("id", "key", "class").join(placed.select("class", "comp"), "class").select("id", "key", "comp"), "ngram-members")
+    first = members.groupBy("comp").agg(F.min(F.struct(F.col("id") == NO_ID, "id", "key")).alias("x")).select("comp", F.col("x.id").alias("first_id"), F.col("x.key").alias("first_key"))
+    gone = members.join(first, "comp").filter("id <> first_id OR key <> first_key").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    again = settle(members.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1"), "ngram-again")
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = keyed.join(gone, ["_id", "_key"], "left_anti")
+    if not again.isEmpty():
+        one = kept.join(again, ["_id", "_key"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).filter("_nth = 1")
+        kept = kept.join(again, ["_id", "_key"], "left_anti").unionByName(one.drop("_nth"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

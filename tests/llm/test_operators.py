@@ -224,3 +224,17 @@ def test_drop_copies_keeps_texts_without_ids(spark):
     for keep, shared in (("min", (7, "shared")), ("max", (9, "shared"))):
         kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string"), keep).collect()
         assert Counter((r.doc_id, r.text.lower()) for r in kept) == Counter([(None, "only"), shared, (None, "own"), (8, "other")])
+
+
+def test_drop_near_copies_of_repeated_and_null_ids(spark):
+    base = lambda p: [f"{p}{i}" for i in range(60)]
+    near = lambda p, k: " ".join(base(p)[:k] + ["new"] + base(p)[k + 1 :])
+    rows = [(1, near("a", 0)), (5, near("a", 59)), (5, "clean " + " ".join(base("b")))]  # a clean row and a near copy share an id
+    rows += [(3, near("c", 0)), (3, near("c", 59)), (4, near("c", 1))]  # near copies under the smallest id
+    rows += [(None, near("d", 0)), (9, near("d", 59)), (8, near("d", 1))]
+    rows += [(None, near("e", 0)), (None, near("e", 59)), (6, near("f", 0)), (6, near("f", 0)), (None, None), (None, "")]
+    kept = ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r.doc_id, (r.text or "").split(" ")[-1][:1]) for r in kept)
+    assert len(kept) == 8 and {r.doc_id for r in kept if "d5" in (r.text or "")} == {8}
+    assert got[5, "b"] == 1 and got[1, "a"] == 1 and sum(r.doc_id == 3 for r in kept) == 1 and sum(r.doc_id == 6 for r in kept) == 1
+    assert sum("e5" in (r.text or "") for r in kept) == 1 and sum(not r.text for r in kept) == 2
