@@ -5,17 +5,17 @@ with at least 1 / 2^17 of all tokens, so 2^17 at most, go to every task; what a
 its rare words with the count table.
 
 The model emits word classes: each of the most frequent words is a class, the others share 256 classes by their last three
-bytes, the end is one. Baum-Welch runs on a bounded sample of texts to break the symmetry of the states, then over all training
-texts, expected counts summed across partitions. For speed it takes a text in segments of 64 tokens, later ones starting from a
-learnt distribution of their own; scoring doesn't: segments become transfer matrices, computed side by side and multiplied in
-order with scaling, which gives the exact forward likelihood of the whole text. Within a shared class a word has probability
-(c + 0.1) / sum over the class, unknown words counting as one more word with c = 0.
+bytes, the end is one. Baum-Welch goes over all training texts in every round, expected counts summed across partitions, until
+the likelihood settles. Texts are cut into segments only to work side by side: transfer matrices, multiplied in order with
+scaling, carry what the rest of a text says, so training and scoring are exact over whole texts. Within a shared class a word
+has probability (c + 0.1) / sum over the class, unknown words counting as one more word with c = 0.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import fold_of, hash_sample, id_and_text, in_batches, read, settle, sliced
+from streamloom.llm.common import fold_of, id_and_text, in_batches, read, settle, sliced
 
 FOLDS = 10
 HEAVY = 1 << 17
@@ -31,8 +31,8 @@ OWN_CLASSES = 4096
 BUCKETS = 256
 STATES = 4
 SEGMENT = 64
-SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_ROUNDS = 1000, 20_000, 12
-ROUNDS = 1
+TRAIN_SEGMENT, TRAIN_TOKENS = 512, 500_000
+ROUNDS, SETTLED = 13, 1e-5
 SEED = 11
 FLUSH = 400_000
 
@@ -100,7 +100,6 @@ class Vocabulary:
 @dataclass
 class Model:
     start: np.ndarray  # (states)
-    later: np.ndarray  # of a later segment, in training only
     step: np.ndarray  # (states, states)
     emit: np.ndarray  # (classes, states)
 
@@ -109,63 +108,104 @@ def first_model(share: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     emit = share[:, None] * np.exp(0.5 * rng.standard_normal((len(share), STATES)))
     even = np.full(STATES, 1 / STATES)
-    return Model(even, even, 0.9 * np.eye(STATES) + 0.1 / STATES, emit / emit.sum(axis=0))
+    return Model(even, 0.9 * np.eye(STATES) + 0.1 / STATES, emit / emit.sum(axis=0))
 
 
-def segments(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(lengths: np.ndarray, most: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, first token, length) of the segments of all texts, in order."""
-    n = -(-lengths // SEGMENT)
+    n = -(-lengths // most)
     text = np.repeat(np.arange(len(lengths)), n)
     nth = np.arange(len(text)) - (np.cumsum(n) - n)[text]
-    return text, (np.cumsum(lengths) - lengths)[text] + nth * SEGMENT, np.minimum(SEGMENT, lengths[text] - nth * SEGMENT)
-
-
-def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over segments: expected starts, later starts, steps, and emissions (classes, states)."""
-    text, first, size = segments(lengths)
-    is_first = np.append(True, text[1:] != text[:-1]) if len(text) else np.zeros(0, bool)
+    return text, (np.cumsum(lengths) - lengths)[text] + nth * most, np.minimum(most, lengths[text] - nth * most)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=0)
+
+
+def _edges(classes: np.ndarray, text: np.ndarray, first: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """What the rest of its text says of every segment (states, segments): the distribution of its first state given the tokens
+    before, and the likelihood of the tokens behind given its last state, up to a factor. Segments of a text are multiplied
+    out as transfer matrices; texts of one segment need none."""
+    before, behind = np.repeat(model.start[:, None], len(text), axis=1), np.ones((STATES, len(text)))
+    n_parts = np.bincount(text)
+    many = np.flatnonzero(n_parts[text] > 1)
+    if not len(many):
+        return before, behind
+    order = many[np.argsort(-size[many], kind="stable")]
+    emit, step = np.ascontiguousarray(model.emit.T), model.step
+    moved = np.repeat(np.eye(STATES)[:, :, None], len(order), axis=2)  # last state, first state, segment
+    for t in range(size[order[0]]):
+        n = np.searchsorted(-size[order], -t, side="left")
+        now = moved[:, :, :n] if t == 0 else (step.T @ moved[:, :, :n].reshape(STATES, -1)).reshape(STATES, STATES, n)
+        now = now * emit[:, classes[first[order[:n]] + t]][:, None, :]
+        moved[:, :, :n] = now / now.sum(axis=(0, 1))
+    whole = np.empty((STATES, STATES, len(text)))
+    whole[:, :, order] = moved
+    texts = np.unique(text[many])
+    at = (np.cumsum(n_parts) - n_parts)[texts]
+    for k in range(int(n_parts.max()) - 1):
+        own = at[n_parts[texts] > k + 1] + k
+        before[:, own + 1] = _unit(step.T @ np.einsum("jin,in->jn", whole[:, :, own], before[:, own]))
+    for k in range(int(n_parts.max()) - 1):
+        own = (at + n_parts[texts] - 1)[n_parts[texts] > k + 1] - k
+        behind[:, own - 1] = _unit(step @ np.einsum("jin,jn->in", whole[:, :, own], behind[:, own]))
+    return before, behind
+
+
+def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch, exact over whole texts: expected starts, steps, and emissions (classes, states); and the log10 likelihood."""
+    starts, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(model.emit), STATES))
+    if not len(lengths):
+        return starts, steps, emitted, 0.0
+    text, first, size = segments(lengths, TRAIN_SEGMENT)
+    is_first, is_last = np.append(True, text[1:] != text[:-1]), np.append(text[1:] != text[:-1], True)
+    before, behind = _edges(classes, text, first, size, model)
     order = np.argsort(-size, kind="stable")
-    first, size, is_first = first[order], size[order], is_first[order]
-    live = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")  # segments that have a token t
-    emitted, alphas, scales = [], [], []
-    state = np.where(is_first[:, None], model.start, model.later)
-    for t in range(SEGMENT):
-        n = live[t]
-        if not n:
-            break
-        e = model.emit[classes[first[:n] + t]]
-        a = (state[:n] if t == 0 else state[:n] @ model.step) * e
-        scale = a.sum(axis=1, keepdims=True)
+    live = np.searchsorted(-size[order], -np.arange(size[order[0]]), side="left")  # segments that have a token t
+    start_of, emit = first[order], np.ascontiguousarray(model.emit.T)
+    own = [classes[start_of[:n] + t] for t, n in enumerate(live)]
+    seen, alphas, scales, state, likely = [], [], [], before[:, order], 0.0
+    for t, n in enumerate(live):
+        e = emit[:, own[t]]
+        a = (state if t == 0 else model.step.T @ state[:, :n]) * e
+        scale = a.sum(axis=0)
         state = a / scale
-        emitted.append(e)
+        likely += float(np.log10(scale).sum())
+        seen.append(e)
         alphas.append(state)
         scales.append(scale)
-    steps = np.zeros((STATES, STATES))
-    emit = np.zeros((len(model.emit), STATES))
-    beta = np.zeros((0, STATES))
-    for t in range(len(alphas) - 1, -1, -1):
-        n, onward = live[t], np.ones((live[t], STATES))
-        m = len(beta)
+    beta, gammas, last = np.zeros((STATES, 0)), [], np.empty((STATES, len(order)))
+    for t in range(len(live) - 1, -1, -1):
+        m, ends = beta.shape[1], order[beta.shape[1] : live[t]]
+        last[:, ends] = alphas[t][:, m:]
+        tail = behind[:, ends] / (alphas[t][:, m:] * behind[:, ends]).sum(axis=0)
         if m:
-            weighted = emitted[t + 1] * beta / scales[t + 1]
-            steps += model.step * (alphas[t][:m].T @ weighted)
-            onward[:m] = weighted @ model.step.T
-        beta = onward
-        gamma = alphas[t] * beta
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        own = classes[first[:n] + t]
-        for k in range(STATES):
-            emit[:, k] += np.bincount(own, gamma[:, k], len(emit))
-    if not len(alphas):
-        return np.zeros(STATES), np.zeros(STATES), steps, emit
-    return gamma[is_first].sum(axis=0), gamma[~is_first].sum(axis=0), steps, emit
+            weighted = seen[t + 1] * beta / scales[t + 1]
+            steps += model.step * (alphas[t][:, :m] @ weighted.T)
+            beta = np.concatenate([model.step @ weighted, tail], axis=1)
+        else:
+            beta = tail
+        gammas.append(alphas[t] * beta)
+    # the step from a segment to the next one of its text
+    entered = np.empty((STATES, len(order)))
+    entered[:, order] = seen[0] * beta
+    left = np.flatnonzero(~is_last)
+    cross = last[:, left], entered[:, left + 1]
+    norm = (cross[0] * (model.step @ cross[1])).sum(axis=0)
+    steps += model.step * (cross[0] @ (cross[1] / norm).T)
+    starts += gammas[-1][:, is_first[order]].sum(axis=1)
+    flat, gamma = np.concatenate(own[::-1]), np.concatenate(gammas, axis=1)
+    for k in range(STATES):
+        emitted[:, k] = np.bincount(flat, gamma[k], len(emitted))
+    return starts, steps, emitted, likely
 
 
 def refit(counts: tuple, share: np.ndarray) -> Model:
     """The model of expected counts, smoothed towards the classes' shares."""
-    start, later, steps, emit = counts
+    start, steps, emit = counts
     unit = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-    return Model(unit(start + 1, 0), unit(later + 1, 0), unit(steps + 1, 1), unit(emit + 20 * share[:, None], 0))
+    return Model(unit(start + 1, 0), unit(steps + 1, 1), unit(emit + 20 * share[:, None], 0))
 
 
 def log_likelihoods(classes: np.ndarray, lengths: np.ndarray, model: Model) -> np.ndarray:
@@ -239,37 +279,57 @@ def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
 
 
 def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch: SAMPLE_ROUNDS over the SAMPLE_TEXTS texts of at most SAMPLE_BYTES with the smallest id hashes, on the
-    driver, only to start with; then `rounds` over all texts, in the cluster."""
+    """Baum-Welch over all texts, in the cluster: until a round changes the likelihood by less than SETTLED of it, `rounds` at
+    most. The texts' classes are written once and read in every round."""
     share = vocab.class_share
     model = first_model(share)
-    sample = hash_sample(rows.filter(F.octet_length("text") <= SAMPLE_BYTES), vocab.ends, SAMPLE_TEXTS, "doc_id", "text").select("text").collect()
-    codes, lengths = vocab.code_arrays([r.text for r in sample], Codes(vocab.heavy))
-    classes = vocab.class_of[codes]
-    for _ in range(SAMPLE_ROUNDS if len(lengths) else 0):
-        model = refit(expected_counts(classes, lengths, model), share)
-    n_steps, n_classes = STATES * STATES, vocab.n_classes
+
+    def encode(batches):
+        codes = Codes(vocab.heavy)
+        for batch in batches:
+            for part in sliced(batch, 2_000_000):
+                found, lengths = vocab.code_arrays(part.column(0).to_pylist(), codes)
+                ends = np.cumsum(lengths)[:-1]
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(vocab.class_of[found].astype(np.uint16), ends)], pa.binary())], names=["classes"])
+
+    coded = settle(rows.select("text").mapInArrow(encode, "classes binary"), "lm-classes")
+    n_steps, n_classes, before = STATES * STATES, vocab.n_classes, None
     for _ in range(rounds):
 
         def expect(batches, model=model):
-            codes, sums = Codes(vocab.heavy), None
-            for batch in batches:
-                for part in sliced(batch, 2_000_000):
-                    found, lengths = vocab.code_arrays(part.column(0).to_pylist(), codes)
-                    new = np.concatenate([x.ravel() for x in expected_counts(vocab.class_of[found], lengths, model)])
-                    sums = new if sums is None else sums + new
-            if sums is not None:
-                at = np.flatnonzero(sums)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], names=["at", "n"])
-
-        total = np.zeros(2 * STATES + n_steps + n_classes * STATES)
-        for r in rows.select("text").mapInArrow(expect, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            sums = np.zeros(STATES + n_steps + n_classes * STATES + 1)
+            for texts in _some_tokens(batches):
+                classes, lengths = np.frombuffer(b"".join(texts), np.uint16), np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+                sums += np.concatenate([np.ravel(x) for x in expected_counts(classes, lengths, model)])
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], names=["at", "n"])
+
+        total = np.zeros(STATES + n_steps + n_classes * STATES + 1)
+        for r in in_batches(coded).mapInArrow(expect, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
             total[r["at"]] = r.n
-        start, later, steps, emit = np.split(total, [STATES, 2 * STATES, 2 * STATES + n_steps])
-        model = refit((start, later, steps.reshape(STATES, STATES), emit.reshape(n_classes, STATES)), share)
+        start, steps, emit, likely = np.split(total, np.cumsum([STATES, n_steps, n_classes * STATES]))
+        model = refit((start, steps.reshape(STATES, STATES), emit.reshape(n_classes, STATES)), share)
+        if before is not None and abs(likely[0] - before) <= SETTLED * abs(before):
+            break
+        before = likely[0]
     return model
 
 
+def _some_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The coded texts in lists of about TRAIN_TOKENS tokens, a text at least."""
+    texts, size = [], 0
+    for batch in batches:
+        for coded in batch.column(0):
+            text = coded.as_py()
+            if texts and size + len(text) > 2 * TRAIN_TOKENS:
+                yield texts
+                texts, size = [], 0
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield texts
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row (log10).
 

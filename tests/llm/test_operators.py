@@ -238,3 +238,45 @@ def test_drop_near_copies_of_repeated_and_null_ids(spark):
     assert len(kept) == 8 and {r.doc_id for r in kept if "d5" in (r.text or "")} == {8}
     assert got[5, "b"] == 1 and got[1, "a"] == 1 and sum(r.doc_id == 3 for r in kept) == 1 and sum(r.doc_id == 6 for r in kept) == 1
     assert sum("e5" in (r.text or "") for r in kept) == 1 and sum(not r.text for r in kept) == 2
+
+
+def test_expected_counts_are_exact():
+    """Against the plain recursion over whole texts, also texts of several segments."""
+    rng = np.random.default_rng(1)
+    model = lm.first_model(np.full(20, 0.05))
+    model.step = rng.random((4, 4)) + 0.1
+    model.step /= model.step.sum(axis=1, keepdims=True)
+    lengths = np.array([1, 64, 512, 513, 1500])
+    classes = rng.integers(0, 20, lengths.sum())
+    starts, steps, emit, at = np.zeros(4), np.zeros((4, 4)), np.zeros((20, 4)), 0
+    for n in lengths:
+        own, at = classes[at : at + n], at + n
+        alphas, scales = [], []
+        for t in range(n):
+            a = (alphas[-1] @ model.step if t else model.start) * model.emit[own[t]]
+            scales.append(a.sum())
+            alphas.append(a / a.sum())
+        beta = np.ones(4)
+        for t in range(n - 1, -1, -1):
+            emit[own[t]] += alphas[t] * beta
+            if t:
+                onward = model.emit[own[t]] * beta / scales[t]
+                steps += model.step * np.outer(alphas[t - 1], onward)
+                beta = model.step @ onward
+        starts += alphas[0] * beta
+    for got, want in zip(lm.expected_counts(classes, lengths, model), (starts, steps, emit), strict=False):
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_lm_trains_on_all_texts_in_every_round(spark):
+    """Texts over 20,000 bytes too, against rounds over all texts at once."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"word{k}" for k in (rng.integers(0, 30, n) + 30 * (i % 2))) for i, n in enumerate([4000] * 6 + [50] * 30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    vocab = lm.vocabulary(lm.word_counts(rows), len(texts))
+    codes, lengths = vocab.code_arrays(texts, lm.Codes(vocab.heavy))
+    want = lm.first_model(vocab.class_share)
+    for _ in range(3):
+        want = lm.refit(lm.expected_counts(vocab.class_of[codes], lengths, want)[:3], vocab.class_share)
+    got = lm.train(rows, vocab, 3)
+    assert got.emit == pytest.approx(want.emit, rel=1e-6) and got.step == pytest.approx(want.step, rel=1e-6)
