@@ -4,6 +4,8 @@ Every 64-byte window of a text has an entropy; entropies that are rare over the
 neighbouring windows the leftmost of the best rank gains a point, and windows with 16 points or more are the features. Their
 hashes go, in order, into chained Bloom filters of 2048 bits (5 bits a feature, at most 160 features each). Two digests
 compare by the overlap of their filters' bits, less what chance gives, normalised to 0..1.
+
+A text under 127 bytes has no such run: there every 8-byte window is a feature, with 7 zero bytes before and after the text.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from streamloom.llm.common import id_and_text, in_batches, read
 
 WINDOW = 64
 POINTS = 16
+SHORT_WINDOW = 8
+#: Texts of fewer bytes have no run of windows; with one of these, texts up to COMPARED bytes compare by short windows too.
+SHORT, COMPARED = 2 * WINDOW - 1, 10 * WINDOW
 LEVELS = 1001
 UNRANKED = 1023
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
@@ -123,9 +128,20 @@ def _hashes(a: np.ndarray, places: np.ndarray) -> np.ndarray:
     return h
 
 
+def _short_hashes(blob: bytes) -> np.ndarray:
+    """The hashes of all short windows of a text that isn't empty."""
+    pad = bytes(SHORT_WINDOW - 1)
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(pad + blob + pad, np.uint8), SHORT_WINDOW)
+    h = np.ascontiguousarray(windows).view(np.uint64)[:, 0]
+    for _ in range(2):
+        h = (h ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def features(blobs: list[bytes], rank_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the text, hash) of every feature, in order. A text without any (short or uniform) has itself as its one
-    feature; an empty text has none."""
+    """(index of the text, hash) of every feature, in order. A short text has all its short windows; another text
+    without features (a uniform one) has itself as its one feature; an empty text has none."""
     owners, hashes = [], []
     at = 0
     while at < len(blobs):
@@ -152,8 +168,9 @@ def features(blobs: list[bytes], rank_of: np.ndarray) -> tuple[np.ndarray, np.nd
     owner, h = np.concatenate(owners or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
     bare = [i for i in np.flatnonzero(np.bincount(owner, minlength=len(blobs)) == 0).tolist() if blobs[i]]
     if bare:
-        own = np.array([int.from_bytes(hashlib.blake2b(blobs[i], digest_size=8).digest(), "little") for i in bare], np.uint64)
-        owner, h = np.append(owner, bare), np.append(h, own)
+        whole = lambda blob: np.array([int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little")], np.uint64)
+        own = [_short_hashes(blobs[i]) if len(blobs[i]) < SHORT else whole(blobs[i]) for i in bare]
+        owner, h = np.append(owner, np.repeat(bare, [len(x) for x in own])), np.concatenate([h, *own])
         order = np.argsort(owner, kind="stable")
         owner, h = owner[order], h[order]
     return owner, h
@@ -161,8 +178,11 @@ def features(blobs: list[bytes], rank_of: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def digests(blobs: list[bytes], rank_of: np.ndarray) -> list[np.ndarray]:
     """The chained filters of each text: an array (filters, 32) of 64-bit words."""
-    owner, h = features(blobs, rank_of)
-    n = np.bincount(owner, minlength=len(blobs))
+    return _filters(*features(blobs, rank_of), len(blobs))
+
+
+def _filters(owner: np.ndarray, h: np.ndarray, n_texts: int) -> list[np.ndarray]:
+    n = np.bincount(owner, minlength=n_texts)
     n_filters = -(-n // FILTER_FEATURES)
     first = np.cumsum(n_filters) - n_filters
     nth = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
@@ -171,7 +191,15 @@ def digests(blobs: list[bytes], rank_of: np.ndarray) -> list[np.ndarray]:
     for k in range(FEATURE_BITS):
         bits[base + ((h >> np.uint64(11 * k + 4)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
     words = np.packbits(bits).view(np.uint64).reshape(-1, FILTER_BITS // 64)
-    return np.split(words, (first + n_filters)[:-1]) if len(blobs) else []
+    return np.split(words, (first + n_filters)[:-1]) if n_texts else []
+
+
+def comparable(a: bytes, own: np.ndarray, b: bytes, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The digests by which two texts compare: their own, or both by short windows if only one of them is short."""
+    if 0 < min(len(a), len(b)) < SHORT <= max(len(a), len(b)) <= COMPARED:
+        x, y = _short_hashes(a), _short_hashes(b)
+        own, other = _filters(np.repeat([0, 1], [len(x), len(y)]), np.concatenate([x, y]), 2)
+    return own, other
 
 
 def likeness(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -296,10 +324,11 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def finish(ids: list, texts: list[str], known: np.ndarray | None) -> tuple[pa.RecordBatch, np.ndarray]:
         """All but the last, which is only the next of the one before it; and its digest."""
         changed = [edited(t, u).encode() for t, u in zip(texts, texts[1:], strict=False)]
-        own = digests([t.encode() for t in texts[known is not None :]], rank_of)
+        blobs = [t.encode() for t in texts]
+        own = digests(blobs[known is not None :], rank_of)
         own = own if known is None else [known, *own]
         theirs = digests(changed, rank_of)
-        near = likeness([*zip(own, theirs, strict=False), *zip(own, own[1:], strict=False)])
+        near = likeness([*map(comparable, blobs, own, changed, theirs), *map(comparable, blobs, own, blobs[1:], own[1:])])
         m = len(changed)
         columns = [pa.array(ids[:m], pa.int64()), pa.array([len(t) for t in texts[:m]], pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in changed], pa.string())]
         columns += [pa.array(map(written, own[:m]), pa.string()), pa.array(map(written, theirs), pa.string()), pa.array(near[:m]), pa.array(near[m:])]

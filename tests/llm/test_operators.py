@@ -280,3 +280,16 @@ def test_lm_trains_on_all_texts_in_every_round(spark):
         want = lm.refit(lm.expected_counts(vocab.class_of[codes], lengths, want)[:3], vocab.class_share)
     got = lm.train(rows, vocab, 3)
     assert got.emit == pytest.approx(want.emit, rel=1e-6) and got.step == pytest.approx(want.step, rel=1e-6)
+
+
+def test_fingerprints_of_short_texts(spark):
+    """An edited copy of a short text is told from another text, also where only one of the two is short."""
+    rng = np.random.default_rng(4)
+    lengths = [12, 40, 100, 126, 127, 160, 8, 126, 60, 150, 5]
+    texts = ["".join(chr(97 + k) for k in rng.integers(0, 26, n)) for n in lengths]
+    rows = fingerprints.fingerprint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if lengths[r.doc_id] < 127:
+            assert r.near_edited > 0.2 > 0.15 > r.near_next
+    assert {r.doc_id: r.near_edited > 0.3 for r in rows if r.doc_id == 5} == {5: True}  # 160 bytes, edited to 88
