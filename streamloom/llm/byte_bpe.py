@@ -1,6 +1,8 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are cut at safe boundaries first, so the library's regex never sees an unbounded text; decoding gives raw bytes.
+Long texts are cut at safe boundaries first. A long run of white space, at which the library's regex would run out of stack, is a
+single match of the split pattern: it is cut out and its bytes are merged without the regex. A long run of any other kind goes to
+the regex as it is, which takes time in proportion. Decoding gives raw bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from streamloom.llm.common import id_and_text, in_batches, per_batch, read, safe_pieces, sliced
+from streamloom.llm.common import id_and_text, in_batches, is_white, per_batch, read, safe_pieces, sliced
 
 PIECE_CHARS = 65_536
 
@@ -32,7 +34,10 @@ def encode(text: str, rank_path: str, pattern: str) -> list[int]:
     own = encoding(rank_path, pattern)
     if len(text) <= PIECE_CHARS:
         return own.encode_ordinary(text)
-    return [i for piece in safe_pieces(text, PIECE_CHARS) for i in own.encode_ordinary(piece)]
+    ids: list[int] = []
+    for piece in safe_pieces(text, PIECE_CHARS):
+        ids += own._encode_single_piece(piece) if len(piece) > PIECE_CHARS and is_white(piece) else own.encode_ordinary(piece)
+    return ids
 
 
 def decode(ids: list[int], rank_path: str, pattern: str) -> bytes:

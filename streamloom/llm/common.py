@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_SAFE_CUT = re.compile(r"(?<=\S)(?=\s)")
+#: The white space of the split pattern of byte-level BPE (Unicode White_Space), for a character class.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SAFE_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -118,20 +121,39 @@ def arrow_types(schema: str) -> dict[str, pa.DataType]:
     return {name: known[kind] for name, kind in (x.split() for x in schema.split(","))}
 
 
+@lru_cache(maxsize=8)
+def _long_run(least: int) -> re.Pattern:
+    return re.compile(f"(?<![{WHITE}])[{WHITE}]{{{least},}}")
+
+
 def safe_pieces(text: str, limit: int) -> list[str]:
-    """Cut a long text into pieces of about `limit` characters where a non-space character meets a space.
+    """Cut a long text into pieces of about `limit` characters where a non-space character meets a space, and each run of white
+    space beyond `limit` apart.
 
-    No match of the byte-level BPE split pattern crosses such a place, and its only look-ahead (a run of white space not
-    followed by a non-space) starts after it, so pieces are tokenized as they are within the whole text.
+    No match of the byte-level BPE split pattern crosses a place where a non-space meets a space, and its only look-ahead (a run of
+    white space not followed by a non-space) starts after it, so pieces are tokenized as they are within the whole text. A run of
+    white space is one match, less its last character if a non-space follows: that character begins the next piece.
     """
     if len(text) <= limit:
         return [text]
     pieces, at = [], 0
+    for run in _long_run(limit + 2).finditer(text):
+        end = run.end() - (run.end() < len(text))
+        pieces += [*_cut(text[at : run.start()], limit), text[run.start() : end]]
+        at = end
+    return pieces + _cut(text[at:], limit)
+
+
+def is_white(piece: str) -> bool:
+    return re.fullmatch(f"[{WHITE}]+", piece) is not None
+
+
+def _cut(text: str, limit: int) -> list[str]:
+    pieces, at = [], 0
     while len(text) - at > limit:
         cut = _SAFE_CUT.search(text, at + limit)
         if cut is None:
             break
         pieces.append(text[at : cut.start()])
         at = cut.start()
-    pieces.append(text[at:])
-    return pieces
+    return [*pieces, text[at:]] if at < len(text) else pieces

@@ -293,3 +293,35 @@ def test_fingerprints_of_short_texts(spark):
         if lengths[r.doc_id] < 127:
             assert r.near_edited > 0.2 > 0.15 > r.near_next
     assert {r.doc_id: r.near_edited > 0.3 for r in rows if r.doc_id == 5} == {5: True}  # 160 bytes, edited to 88
+
+
+RUNS = {"spaces": " ", "newlines": "\n", "wide": "　", "mixed": " \n\t", "letters": "ab", "digits": "1", "signs": "!?\x1c", "quotes": "'s"}
+
+
+@pytest.mark.parametrize("end", ["", "x", "\x1c", " y z"])
+@pytest.mark.parametrize("run", RUNS)
+def test_long_runs_are_tokenized_as_the_library_does(run, end):
+    """Over PIECE_CHARS and SLICE_CHARS, and far over what the library takes in one go."""
+    from tokenizers import Tokenizer
+
+    ranks, path = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.path("byte_bpe_50k.json")
+    own, other = byte_bpe.encoding(ranks, tokenizers.PATTERN), Tokenizer.from_file(path)
+    for n in (byte_bpe.PIECE_CHARS - 1, byte_bpe.PIECE_CHARS + 3, 150_000):
+        text = "start. " + (RUNS[run] * n)[:n] + end + " then   some more\n\n" + "words " * 20_000
+        ids = byte_bpe.encode(text, ranks, tokenizers.PATTERN)
+        assert ids == own.encode_ordinary(text) and byte_bpe.decode(ids, ranks, tokenizers.PATTERN) == text.encode()
+        if n == 150_000:
+            assert token_count.count_tokens([text], path) == [len(other.encode(text, add_special_tokens=False).ids)]
+
+
+def test_texts_of_ten_megabytes_round_trip(spark):
+    ranks, path = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.path("byte_bpe_50k.json")
+    size = 10_000_000
+    texts = [" " * size, "\n" * size, "a" * size, ("x " + " \n" * 500_000) * 10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = {r.doc_id: r for r in byte_bpe.round_trip(docs, ranks, tokenizers.PATTERN).collect()}
+    stage = {r.doc_id: r.n_tokens for r in byte_bpe.tokenized(docs, ranks, tokenizers.PATTERN).select("doc_id", "n_tokens").collect()}
+    counted = token_count.count_tokens(texts, path)
+    for i, text in enumerate(texts):
+        assert n[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert n[i].n_tokens == stage[i] == counted[i]
