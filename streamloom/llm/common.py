@@ -15,6 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 #: A word: a run of anything but space, tab, newline, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,6 +72,13 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def total_order(docs: DataFrame, inside: str | None = None) -> list[Column]:
+    """An order of rows by all columns that have one (fields of the struct `inside`, if given): rows that tie are equal in them, so
+    that it doesn't matter which comes first."""
+    own = f"{inside}." if inside else ""
+    return [F.col(f"{own}`{f.name}`").asc_nulls_last() for f in docs.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+
+
 def in_batches(rows: DataFrame, most_rows: int = 1000) -> DataFrame:
     """Bound the Arrow batches that Python workers get, so that neither side of a worker holds a whole partition of texts.
     A size that the session sets itself stays."""

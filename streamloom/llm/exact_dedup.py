@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import ascii_lower, id_and_text, read
+from streamloom.llm.common import ascii_lower, id_and_text, read, total_order
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -19,11 +19,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep: "min" or "max", which id of a group stays. A group whose ids are all null keeps none. Of rows that repeat the
     staying id as well, exactly one is marked kept. Ids, not row order, break all ties.
     """
-    return _marked(docs, id_col, text_col, keep).select("doc_id", "keep_id", "group_size", (F.col("stays") & F.col("doc_id").isNotNull()).alias("kept"), "text_sha256")
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame:
-    """As exact_dedup, with stays for kept: exactly one row of every group, one without an id where the group has no id."""
     pick = {"min": F.min, "max": F.max}[keep]
     rows = id_and_text(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("norm")).select("doc_id", "norm", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"))
     groups = (
@@ -34,16 +29,21 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str) -> DataFrame
     members = rows.select("doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     same = Window.partitionBy("doc_id", "h").orderBy("text_sha256")
     members = members.withColumn("nth", F.row_number().over(same))
-    return members.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("stays"), "text_sha256")
+    kept = F.coalesce((F.col("doc_id") == F.col("keep_id")) & (F.col("nth") == 1), F.lit(False))
+    return members.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: one of each group of equal texts, also of a group without ids."""
-    stay = _marked(docs, id_col, text_col, keep).filter("stays").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    same = Window.partitionBy(id_col, "_sha").orderBy(F.lit(0))
-    marked = docs.withColumn("_sha", sha).withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
-    return marked.alias("d").join(stay, F.col(f"d.{id_col}").eqNullSafe(F.col("_stays")) & (F.col("d._sha") == stay["_sha"]), "left_semi").select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    """The rows of docs that stay, with their columns: one of each group of equal texts, also of a group without ids.
+
+    Rows are dealt out by hash and text, each partition having first left one row of a group, so texts move once and a large
+    group sends a row per partition. Of rows that share the staying id, the other columns decide, and the text before lower-casing.
+    """
+    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    own = docs.withColumn("_norm", norm).withColumn("_hash", F.unhex(F.md5(F.col("_norm").cast("binary"))))
+    by_id = {"min": F.col(id_col).asc_nulls_last, "max": F.col(id_col).desc_nulls_last}[keep]()
+    same = Window.partitionBy("_hash", "_norm").orderBy(by_id, *total_order(docs))
+    return own.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

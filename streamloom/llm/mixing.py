@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import WORD, read, settle
+from streamloom.llm.common import WORD, read, settle, total_order
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -24,7 +24,8 @@ MAX_REPEATS = 3
 SPACED_WORD = r"[\x20\x09-\x0D]*" + WORD
 BLOCK = 8
 SHARD_WORDS = 100_000
-MAX_SHARDS = 4096
+#: Beyond so many shards a source has as many as the root of its words, so that both a shard and the list of shards stay small.
+MANY_SHARDS = 4096
 SEED = 20_240_607
 
 
@@ -85,17 +86,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     shard), shard_size, blocks, each (times every block is taken), extra (blocks taken once more), step and turn.
 
     Null and empty texts have size 0 and take nothing; a source of size 0 has target 0. Rows that repeat an id are rows of
-    their own, in order of size. A null id is hashed as null.
+    their own, in order of size and then of a hash of the text. A null id is hashed as null.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("key"))
     return mix_sizes(settle(rows, "mixing-sizes"), seed, block)
 
 
 def mix_sizes(sizes: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     found = settle(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"))), "mixing-targets")
-    n_shards = F.least(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(MAX_SHARDS)).cast("int")
+    n_shards = F.least(F.ceil(F.col("source_size") / SHARD_WORDS), F.greatest(F.lit(MANY_SHARDS), F.ceil(F.sqrt("source_size")))).cast("int")
     found = found.withColumn("n_shards", F.greatest(n_shards, F.lit(1)))
-    joined = sizes.alias("a").join(found.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "size", "nth", "source_size", "target", "full", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int").alias("shard"))
+    joined = sizes.alias("a").join(found.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("doc_id", "size", "key", "nth", "source_size", "target", "full", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_shards")).cast("int").alias("shard"))
     shards = joined.groupBy("nth", "shard").agg(F.sum("size").alias("shard_size"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.first("full").alias("full"))
     shards = settle(shards.withColumn("blocks", F.when(F.col("shard_size") > 0, F.greatest(F.round(F.col("shard_size") / block), F.lit(1))).otherwise(0).cast("long")), "mixing-shards")
     # Seats of the sources that aren't capped; a capped source takes all its blocks MAX_REPEATS times.
@@ -110,7 +111,7 @@ def mix_sizes(sizes: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFra
     shards = shards.select("nth", "shard", "shard_size", "blocks", F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).cast("long").alias("each"), F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).cast("long").alias("extra"), turned.alias("turn"))
     shards = shards.withColumn("step", F.coalesce(_coprime_step(F.greatest("blocks", F.lit(1)), F.col("turn").cast("int")), F.lit(1).cast("long")))
     placed = joined.join(shards, ["nth", "shard"])
-    own = Window.partitionBy("nth", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy("nth", "shard").orderBy(F.xxhash64(F.lit(seed + 2), "doc_id"), "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = placed.withColumn("first", F.sum("size").over(own) - F.col("size"))
     return placed.withColumn("taken", taken_words())
 
@@ -151,16 +152,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The mix itself, with the columns of docs: a document as often as all blocks of its shard are taken, and once more if it is
     among the first of its shard, whose words make up the blocks taken once more. Of the one document at the edge of those its
     first words, as they stand in the text. Documents that nothing is taken from go."""
-    key = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_in(F.col(text_col)).alias("_size")]
+    key = [F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.xxhash64(text_col).alias("_key")]
     plan = mix(docs, id_col, text_col, source_col, seed).withColumn("more", more_words()).filter("size * each + more > 0")
     names = settle(docs.select(F.col(source_col).cast("string").alias("_source")).distinct(), "mixing-names")
     nth = F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last()))
     names = names.withColumn("nth", nth)
-    order = lambda *c: F.row_number().over(Window.partitionBy(*c).orderBy(F.lit(0)))
-    plan = plan.join(names, "nth").withColumn("_copy", order("doc_id", "nth", "size"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_whole"), *key).withColumn("_copy", order("_id", "_source", "_size"))
-    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("_copy").alias("p_copy"), "size", "each", "more")
-    met = rows.join(plan, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_size") == F.col("size")) & (F.col("_copy") == F.col("p_copy")))
+    # Rows of one id, source and text pair up in order: the plan's by place, the documents' by their other columns.
+    plan = plan.join(names, "nth").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "nth", "key").orderBy("first")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_whole"), *key)
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy("_id", *total_order(docs.select([c for c in docs.columns if c not in (id_col, source_col, text_col)]), "_row"))))
+    plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("key").alias("p_key"), F.col("_copy").alias("p_copy"), "size", "each", "more")
+    met = rows.join(plan, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_key") == F.col("p_key")) & (F.col("_copy") == F.col("p_copy")))
     more = F.col("more")
     part = F.array_join(F.slice(F.regexp_extract_all(F.col("_whole"), F.lit(SPACED_WORD), F.lit(0)), F.lit(1), more.cast("int")), "")
     rest = F.when((more > 0) & (more == F.col("size")), F.array(F.col("_whole"))).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))

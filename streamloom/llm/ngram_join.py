@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced
+from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced, total_order
 
 SHINGLE = 5
 PERCENT = 80
@@ -331,7 +331,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     kept = keyed.join(gone, ["_id", "_key"], "left_anti")
     if not again.isEmpty():
-        one = kept.join(again, ["_id", "_key"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))).filter("_nth = 1")
+        one = kept.join(again, ["_id", "_key"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(*total_order(docs)))).filter("_nth = 1")
         kept = kept.join(again, ["_id", "_key"], "left_anti").unionByName(one.drop("_nth"))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 

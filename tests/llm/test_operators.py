@@ -325,3 +325,21 @@ def test_texts_of_ten_megabytes_round_trip(spark):
     for i, text in enumerate(texts):
         assert n[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert n[i].n_tokens == stage[i] == counted[i]
+
+
+def test_stages_decide_by_content_where_ids_repeat(spark):
+    """Rows that share an id, source and size but not the text, or the text but not other columns: any order of the input gives the
+    same rows, none is lost."""
+    long = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, long(c), "en", "s", n) for c in "abcdefgh" for n in (5, 6)] + [(None, long(c), "de", None, 7) for c in "pqr"] + [(2, "Same TEXT", "b", "s", 1), (2, "same text", "a", "s", 1), (2, "same TEXT", "a", "s", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = []
+    for order in (rows, rows[::-1], rows[7:] + rows[:7]):
+        docs = spark.createDataFrame(order, schema).repartition(1 + len(got))
+        got.append([Counter(f(docs).collect()) for f in (exact_dedup.drop_copies, ngram_join.drop_near_copies, mixing.mixed_documents)])
+    assert got[0] == got[1] == got[2]
+    exact, near, mixed = got[0]
+    assert {tuple(r) for r in exact if r.doc_id == 2} == {(2, "Same TEXT", "b", "s", 1)} and sum(exact.values()) == 12
+    assert sum(near.values()) == 12  # the three spellings have the same shingles
+    assert {r.text for r in mixed if r.doc_id is None} <= {t for i, t, *_ in rows if i is None}
+    assert mixing.mixed_documents(spark.createDataFrame([(1, "a b", "s", 3)], "doc_id long, text string, source string, n_chars long")).count() == 1
