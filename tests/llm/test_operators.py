@@ -341,5 +341,5 @@ def test_stages_decide_by_content_where_ids_repeat(spark):
     exact, near, mixed = got[0]
     assert {tuple(r) for r in exact if r.doc_id == 2} == {(2, "Same TEXT", "b", "s", 1)} and sum(exact.values()) == 12
     assert sum(near.values()) == 12  # the three spellings have the same shingles
-    assert {r.text for r in mixed if r.doc_id is None} <= {t for i, t, *_ in rows if i is None}
+    assert all(any(t.startswith(r.text) for i, t, *_ in rows if i == r.doc_id) for r in mixed)  # one of a shard may be cut
     assert mixing.mixed_documents(spark.createDataFrame([(1, "a b", "s", 3)], "doc_id long, text string, source string, n_chars long")).count() == 1
