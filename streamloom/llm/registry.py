@@ -15,9 +15,11 @@ QUERIES = {
     "op7_chat_formatting": chat.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_byte_bpe": byte_bpe.query,
+    "pii_base_spans": pii.base_query,
 }
 SQL = {
     "op6_ngram_jaccard_join": ngram_join.SQL,
     "op7_chat_formatting": chat.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "pii_base_spans": pii.SQL,
 }
