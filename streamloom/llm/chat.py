@@ -71,10 +71,19 @@ def parse(formatted: Column) -> Column:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Finished conversations as a log of message events; rows that repeat a turn each stay a turn of their own."""
-    c = conversations.select("conv_id", F.col("turn").alias("seq"), "role", "text")
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "role", "text"))
-    return c.select("conv_id", nth.alias("turn"), "role", "text").select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "turn", "role", "text")
+    """A log that ends in the given conversations, as a chat service would have written it; rows that repeat a turn each stay a turn
+    of their own. Each assistant text is streamed in two deltas, after a first attempt that a regeneration takes back; each
+    other text is a draft first (its first half) and then edited. Events of turn n have the numbers 8n to 8n + 4."""
+    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    c = c.select("conv_id", nth.alias("turn"), "role", "text", F.floor(F.char_length("text") / 2).cast("int").alias("half"))
+    event = lambda step, kind, text: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text.alias("text"))
+    whole, empty = F.col("text"), F.lit("")
+    first, rest = F.left(whole, F.col("half")), F.substring(whole, F.col("half") + 1, F.char_length(whole))
+    said = F.array(event(0, "message", empty), event(1, "delta", rest), event(2, "regenerate", empty), event(3, "delta", first), event(4, "delta", rest))
+    typed = F.array(event(0, "message", first), event(1, "edit", whole))
+    e = c.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == "assistant", said).otherwise(typed)).alias("e"))
+    return e.select("conv_id", (F.col("turn") * 8 + F.col("e.step")).alias("seq"), F.col("e.kind").alias("kind"), "turn", "role", F.col("e.text").alias("text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
