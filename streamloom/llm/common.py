@@ -21,6 +21,7 @@ from pyspark.sql.types import MapType, VariantType
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+HOT, LEAST_HOT, SPREAD = 256, 1000, 64
 #: The white space of the split pattern of byte-level BPE (Unicode White_Space), for a character class.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SAFE_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
@@ -50,6 +51,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(rows: DataFrame, key: str, weight: str | None = None) -> list:
+    """The keys that hold more than 1 / HOT of the rows (of the sum of weight), so fewer than HOT of them. rows should be settled."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    total = rows.agg(n.alias("n")).first().n or 0
+    if total < LEAST_HOT:
+        return []
+    return [r[0] for r in rows.groupBy(key).agg(n.alias("_n")).filter(F.col("_n") * HOT > total).select(key).collect() if r[0] is not None]
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: list, how: str = "inner") -> DataFrame:
+    """rows join table, which has one row per key. Rows of hot keys are dealt out by another column to SPREAD tasks, for which the
+    table's rows of those few keys repeat."""
+    if not hot:
+        return rows.join(table, key, how)
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).otherwise(0)
+    salts = F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
+    return rows.withColumn("_salt", salt).join(table.withColumn("_salt", salts), [key, "_salt"], how).drop("_salt")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the id and the text, a null text as the empty one."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

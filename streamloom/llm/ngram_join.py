@@ -4,8 +4,9 @@ Every document is the set of its distinct 5-word shingles (as 64-bit hashes). Al
 the level of their document frequency in a sketch of fixed size, then by hash. Two sets of similarity 0.8
 or more share a shingle among the first n - ceil(0.8 n) + 1 of each, their prefixes.
 
-* Documents with equal sets form a class; classes with equal prefixes and sizes form a group. Only groups, one row per prefix
-  shingle, meet in the join, so copies cost nothing however many they are.
+* Documents with equal sets form a class; classes with equal prefixes and sizes form a group. Both are told by 128-bit hashes, and
+  then named by numbers of their own. Only groups, one row per prefix shingle, meet in the join, so copies cost nothing
+  however many they are.
 * First round: in every list of groups that share a shingle, each is paired only with the one that shares most with others
   over all its lists, a linear number of pairs. What verifies is linked, and components are built.
 * Second round, which makes the result exact: pairs of groups that share a shingle and are not yet connected. Of each list
@@ -15,7 +16,8 @@ or more share a shingle among the first n - ceil(0.8 n) + 1 of each, their prefi
 * A pair of groups is expanded to its members, and these are verified on their whole sets, if the number of prefix shingles
   they share allows the similarity (an exact bound).
 
-Links inside a component that cannot change it are not enumerated; components are those of all links.
+Links inside a component that cannot change it are not enumerated; components are those of all links. Joins on keys that may be
+hot (a class, a group, a shingle, the centre of a star of links, the label of a component) spread the few hottest keys over many tasks.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_and_text, in_batches, read, settle, sliced, total_order
+from streamloom.llm.common import HOT, LEAST_HOT, hot_keys, id_and_text, in_batches, read, settle, sliced, spread_join, total_order
 
 SHINGLE = 5
 PERCENT = 80
@@ -128,7 +130,7 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """id, key (of the text), n, class (64-bit id of the set), grp (of the prefix and size), prefix of every row."""
+    """id, key (of the text), n, class (128-bit hash of the set), grp (of the prefix and size), prefix of every row."""
 
     def sign(batches):
         for batch in batches:
@@ -140,21 +142,21 @@ def signatures(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                     keys = (level.astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
                     p = len(s) - needed(len(s)) + 1 if len(s) else 0
                     first = np.sort(np.partition(keys, p - 1)[:p] if p < len(s) else keys)
-                    classes.append(_short(s.tobytes()))
-                    groups.append(_short(first.tobytes() + len(s).to_bytes(8, "little")))
+                    classes.append(_digest(s.tobytes()))
+                    groups.append(_digest(first.tobytes() + len(s).to_bytes(8, "little")))
                     prefixes.append(first.view(np.int64))
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(groups, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                    [part.column("id"), part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(groups, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
                     names=["id", "key", "n", "class", "grp", "prefix"],
                 )
 
-    return rows.mapInArrow(sign, "id long, key long, n long, class long, grp long, prefix array<long>")
+    return rows.mapInArrow(sign, "id long, key long, n long, class binary, grp binary, prefix array<long>")
 
 
-def _short(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _similar_sizes(a: Column, b: Column) -> Column:
@@ -187,9 +189,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
     pairs = settle(pairs.select("a", "b").distinct(), "ngram-pairs")
     if pairs.isEmpty():
         return pairs
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    ids = classes.join(wanted, "class", "left_semi").select("id")
-    may = _filter_of(ids)
+    wanted = settle(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "class", "top.id"), "ngram-wanted")
+    may = _filter_of(wanted.select("id"))
     bit = lambda *x: F.pmod(F.xxhash64("id", *x), F.lit(FILTER_WORDS * 64))
     marked = rows.select("text", bit().alias("b1"), bit(F.lit(1)).alias("b2"))
 
@@ -201,29 +202,32 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame
                 sets = shingle_sets(part.column("text").to_pylist())
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([_short(s.tobytes()) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["class", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s.tobytes()) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["class", "set"])
 
-    sets = marked.mapInArrow(make, "class long, set array<long>").join(wanted, "class", "left_semi").groupBy("class").agg(F.any_value("set").alias("set"))
-    one = pairs.join(sets.select(F.col("class").alias("b"), F.col("set").alias("set_b")), "b")
-    both = one.join(sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), "a")
+    sets = marked.mapInArrow(make, "class binary, set array<long>").join(wanted.select("class", "cid"), "class").groupBy("cid").agg(F.any_value("set").alias("set"))
+    one = spread_join(pairs, sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b", "a", hot_keys(pairs, "b"))
+    both = spread_join(one, sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a", "b", hot_keys(pairs, "a"))
     both = both.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("common"), (F.size("set_a") + F.size("set_b")).alias("sum"))
     return settle(both.filter(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * PERCENT).select("a", "b"), "ngram-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(class, comp) of every class that has a link; comp is the smallest class of its component. Smallest labels spread to
-    neighbours, then every label is replaced by its own label, until nothing changes."""
+def components(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, comp, best) of every class that has a link: the class of its component with the smallest top, and that top. Smallest
+    labels spread to neighbours, then every label is replaced by its own label, until nothing changes."""
     both = settle(links.select(F.col("a").alias("v"), F.col("b").alias("u")).union(links.select("b", "a")).distinct(), "ngram-edges")
-    labels = settle(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("l")), "ngram-labels")
+    own = F.struct("top", F.col("cid").alias("l")).alias("label")
+    labels = settle(classes.join(both.select(F.col("v").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("v"), own), "ngram-labels")
+    centres = hot_keys(both, "u")
     while not labels.isEmpty():
-        near = both.join(labels.select(F.col("v").alias("u"), F.col("l")), "u").groupBy("v").agg(F.min("l").alias("m"))
-        spread = labels.join(near, "v").select("v", F.col("l").alias("old"), F.least("l", "m").alias("l"))
-        jump = labels.select(F.col("v").alias("l"), F.col("l").alias("j"))
-        new = settle(spread.join(jump, "l").select("v", "old", F.least("l", "j").alias("l")), "ngram-labels")
-        labels = new.select("v", "l")
-        if new.filter("l <> old").isEmpty():
+        near = spread_join(both, labels.select(F.col("v").alias("u"), "label"), "u", "v", centres).groupBy("v").agg(F.min("label").alias("near"))
+        spread = labels.join(near, "v").select("v", F.col("label.l").alias("old"), F.least("label", "near").alias("label"))
+        spread = settle(spread.withColumn("l", F.col("label.l")), "ngram-spread")
+        jump = labels.select(F.col("v").alias("l"), F.col("label").alias("far"))
+        new = settle(spread_join(spread, jump, "l", "v", hot_keys(spread, "l")).select("v", "old", F.least("label", "far").alias("label")), "ngram-labels")
+        labels = new.select("v", "label")
+        if new.filter("label.l <> old").isEmpty():
             break
-    return labels.select(F.col("v").alias("class"), F.col("l").alias("comp"))
+    return labels.select(F.col("v").alias("cid"), F.col("label.l").alias("comp"), F.col("label.top").alias("best"))
 
 
 def _shared_posts(posts: DataFrame) -> DataFrame:
@@ -235,8 +239,8 @@ def _shared_posts(posts: DataFrame) -> DataFrame:
     long_list = F.shiftrightunsigned("token", 58) >= LONG_LIST
     short = posts.filter(~long_list).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("m > 1")
     frequent = posts.filter(long_list)
-    counts = frequent.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return short.select(*columns).union(frequent.join(counts, "token").select(*columns))
+    counts = settle(frequent.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "ngram-lists")
+    return short.select(*columns).union(spread_join(frequent, counts, "token", "grp", hot_keys(counts, "token", "m")).select(*columns))
 
 
 def _heads(posts: DataFrame) -> DataFrame:
@@ -247,12 +251,13 @@ def _heads(posts: DataFrame) -> DataFrame:
     return posts.join(weights, "grp").groupBy("token").agg(head).select("token", F.col("x.grp").alias("head"), F.col("x.n").alias("head_n"))
 
 
-def _with_enough_shared(met: DataFrame, signed: DataFrame) -> DataFrame:
+def _with_enough_shared(met: DataFrame, signed: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs (pg, qg) of groups whose whole prefixes share as much as similarity 0.8 needs."""
-    ends = met.select(F.explode(F.array("pg", "qg")).alias("grp")).distinct()
-    known = signed.join(ends, "grp", "left_semi").groupBy("grp").agg(F.first("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    side = lambda s: known.select(F.col("grp").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("prefix").alias(f"{s}prefix"))
-    pairs = met.join(side("p"), "pg").join(side("q"), "qg")
+    ends = met.select(F.explode(F.array("pg", "qg")).alias("gid")).distinct()
+    known = signed.join(firsts.join(ends, "gid", "left_semi"), "grp").groupBy("gid").agg(F.first("n").alias("n"), F.any_value("prefix").alias("prefix"))
+    side = lambda s: known.select(F.col("gid").alias(f"{s}g"), F.col("n").alias(f"{s}n"), F.col("prefix").alias(f"{s}prefix"))
+    pairs = spread_join(met, side("p"), "pg", "qg", hot_keys(met, "pg"))
+    pairs = spread_join(pairs, side("q"), "qg", "pg", hot_keys(met, "qg"))
     return pairs.filter(_may_link(F.size(F.array_intersect("pprefix", "qprefix")), F.col("pn"), F.col("qn"))).select(*met.columns)
 
 
@@ -262,40 +267,53 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have no shingles and link with nothing, not even with each other; their component is themselves. Rows
     that repeat a text are linked. A null id counts as the smallest.
     """
-    signed, placed = _placed(plain_rows(docs, id_col, text_col))
-    smallest = placed.groupBy("comp").agg(F.min("id").alias("component"))
-    resolved = placed.join(smallest, "comp").select("class", "component")
-    out = signed.filter("n > 0").select("id", "n", "class").join(resolved, "class").select("id", "n", "component")
+    signed, placed = _placed(plain_rows(docs, id_col, text_col), nulls_last=False)
+    out = _of_classes(signed.select("id", "n", "class"), placed).select("id", "n", F.col("best.id").alias("component"))
     out = out.union(signed.filter("n = 0").select("id", "n", F.col("id").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows' signatures, and every class (class, id, n, grp) with the component (comp) that it is in."""
+def _of_classes(signed: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows that have shingles, with what is known of their class."""
+    return spread_join(signed.filter("n > 0"), placed.select("class", "best"), "class", "id", hot_keys(placed, "class", "rows"))
+
+
+def _placed(rows: DataFrame, nulls_last: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and every class (class, cid, rows, ...) with the component (comp) that it is in, and that component's
+    first document (best: late, id, key). nulls_last: whether rows without an id come after all others."""
     signed = settle(signatures(rows, frequency_levels(rows)), "ngram-signatures")
     full = signed.filter("n > 0")
-    classes = settle(full.groupBy("class").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("grp").alias("grp")), "ngram-classes")
-    groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    posts = settle(_shared_posts(groups.select("grp", "n", F.posexplode("prefix").alias("pos", "token"))), "ngram-posts")
-
-    first = classes.groupBy("grp").agg(F.min("class").alias("first"))
-    starred = posts.join(_heads(posts), "token").filter((F.col("grp") != F.col("head")) & _similar_sizes(F.col("n"), F.col("head_n"))).groupBy("head", "grp").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("head_n").alias("head_n"))
-    starred = starred.filter(_may_link(F.col("shared"), F.col("n"), F.col("head_n")))
-    starred = starred.join(first.select(F.col("grp").alias("head"), F.col("first").alias("a")), "head").join(first.select("grp", F.col("first").alias("b")), "grp").select("a", "b")
-    within = classes.join(first, "grp").filter("class <> first").select(F.col("first").alias("a"), F.col("class").alias("b"))
+    late = F.col("id") == NO_ID if nulls_last else F.lit(False)
+    classes = full.groupBy("class").agg(F.min(F.struct(late.alias("late"), "id", "key")).alias("top"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.count(F.lit(1)).alias("rows"))
+    named = settle(classes.withColumn("cid", F.monotonically_increasing_id()), "ngram-named")  # written once: the numbers stay
+    firsts = settle(named.groupBy("grp").agg(F.min("cid").alias("gid")), "ngram-firsts")  # a group is named by its first class
+    classes = settle(spread_join(named, firsts, "grp", "cid", hot_keys(named, "grp")).drop("grp"), "ngram-classes")
+    groups = full.groupBy("grp").agg(F.first("n").alias("n"), F.any_value("prefix").alias("prefix")).join(firsts, "grp")
+    posts = settle(_shared_posts(groups.select(F.col("gid").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))), "ngram-posts")
+
+    total = posts.count()
+    long_lists = [r.token for r in posts.filter(F.col("m") * HOT > total).select("token").distinct().collect()] if total >= LEAST_HOT else []  # fewer than HOT
+    starred = spread_join(posts, _heads(posts), "token", "grp", long_lists).filter((F.col("grp") != F.col("head")) & _similar_sizes(F.col("n"), F.col("head_n")))
+    starred = starred.groupBy("head", "grp").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("head_n").alias("head_n"))
+    starred = starred.filter(_may_link(F.col("shared"), F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("grp").alias("b"))
+    within = classes.filter("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
     links = verified(starred.union(within), rows, classes)
 
-    known = components(links)
-    placed = settle(classes.join(known, "class", "left").select("class", "id", "n", "grp", F.coalesce("comp", "class").alias("comp")), "ngram-placed")
-    parts = placed.select("grp", "comp").distinct()
+    def in_components(links: DataFrame) -> DataFrame:
+        known = classes.join(components(links, classes), "cid", "left")
+        return settle(known.select("class", "cid", "n", "gid", "rows", F.coalesce("comp", "cid").alias("comp"), F.coalesce("best", "top").alias("best")), "ngram-placed")
+
+    placed = in_components(links)
+    parts = placed.select(F.col("gid").alias("grp"), "comp").distinct()
     split = settle(posts.select("token", "grp", "n", "pos").join(parts, "grp"), "ngram-split")
     apart = parts.groupBy("grp").count().filter("count > 1").select("grp")
     apart = settle(parts.join(apart, "grp"), "ngram-apart")
     if not (split.isEmpty() and apart.isEmpty()):
         # lists of more than one component, and the component that most of their entries are in
         main = split.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"))
-        split = split.join(main.filter("comps > 1").select("token", F.col("x.comp").alias("main")), "token").withColumn("minor", F.col("comp") != F.col("main"))
+        main = main.filter("comps > 1").select("token", F.col("x.comp").alias("main"))
+        split = spread_join(split, main, "token", "grp", long_lists).withColumn("minor", F.col("comp") != F.col("main"))
         left, right = split.alias("x"), split.filter("minor").alias("y")
         order = ~F.col("x.minor") | (F.struct("x.grp", "x.comp") < F.struct("y.grp", "y.comp"))
         least = _least_overlap(F.col("x.n"), F.col("y.n"))
@@ -306,13 +324,12 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = settle(met.select(F.col("p.grp").alias("pg"), F.col("p.comp").alias("pc"), F.col("q.grp").alias("qg"), F.col("q.comp").alias("qc")), "ngram-met")
         own = apart.alias("x").join(apart.alias("y"), (F.col("x.grp") == F.col("y.grp")) & (F.col("x.comp") < F.col("y.comp")))
         own = own.select(F.col("x.grp").alias("pg"), F.col("x.comp").alias("pc"), F.col("y.grp").alias("qg"), F.col("y.comp").alias("qc"))
-        met = _with_enough_shared(met, full).union(own)
-        member = placed.select("class", "grp", "comp")
-        more = met.join(member.select(F.col("class").alias("a"), F.col("grp").alias("pg"), F.col("comp").alias("pc")), ["pg", "pc"]).join(member.select(F.col("class").alias("b"), F.col("grp").alias("qg"), F.col("comp").alias("qc")), ["qg", "qc"])
+        met = _with_enough_shared(met, full, firsts).union(own)
+        member = lambda s, c: placed.select(F.col("cid").alias(c), F.col("gid").alias(f"{s}g"), F.col("comp").alias(f"{s}c"))
+        more = met.join(member("p", "a"), ["pg", "pc"]).join(member("q", "b"), ["qg", "qc"])
         links2 = verified(more.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows, classes)
         if not links2.isEmpty():
-            known = components(links.union(links2))
-            placed = classes.join(known, "class", "left").select("class", "id", "n", "grp", F.coalesce("comp", "class").alias("comp"))
+            placed = in_components(links.union(links2))
     return signed, placed
 
 
@@ -323,11 +340,10 @@ def plain_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns: exactly one of each component, with the smallest id (a null id loses to
     any other). Rows are told apart by id and text, as ids may repeat. Rows without shingles stay."""
-    signed, placed = _placed(plain_rows(docs, id_col, text_col))
-    members = settle(signed.filter("n > 0").select("id", "key", "class").join(placed.select("class", "comp"), "class").select("id", "key", "comp"), "ngram-members")
-    first = members.groupBy("comp").agg(F.min(F.struct(F.col("id") == NO_ID, "id", "key")).alias("x")).select("comp", F.col("x.id").alias("first_id"), F.col("x.key").alias("first_key"))
-    gone = members.join(first, "comp").filter("id <> first_id OR key <> first_key").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    again = settle(members.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1"), "ngram-again")
+    signed, placed = _placed(plain_rows(docs, id_col, text_col), nulls_last=True)
+    members = _of_classes(signed.select("id", "key", "n", "class"), placed)
+    gone = members.filter("id <> best.id OR key <> best.key").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
+    again = settle(signed.filter("n > 0").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1"), "ngram-again")
     keyed = docs.withColumn("_id", F.coalesce(F.col(id_col), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     kept = keyed.join(gone, ["_id", "_key"], "left_anti")
     if not again.isEmpty():
