@@ -1,8 +1,8 @@
 """Language-model scoring with a hidden Markov model.
 
-Tokens are words (A-Z lower-cased) and one end per text. Word counts of all training texts are aggregated in the cluster. Words
-with at least 1 / 2^17 of all tokens, so 2^17 at most, go to every task; what a text owes to all other words comes by joining
-its rare words with the count table.
+Tokens are words (A-Z lower-cased) and one end per text. Word counts of all training texts are aggregated in the cluster. The most
+frequent words, 2^17 at most, go to every task; what a text owes to all other words comes by joining its rare words with the count
+table. Every text is read into words twice: to count them, and to write what training and scoring need of it.
 
 The model emits word classes: each of the most frequent words is a class, the others share 256 classes by their last three
 bytes, the end is one. Baum-Welch goes over all training texts in every round, expected counts summed across partitions, until
@@ -31,7 +31,7 @@ OWN_CLASSES = 4096
 BUCKETS = 256
 STATES = 4
 SEGMENT = 64
-TRAIN_SEGMENT, TRAIN_TOKENS = 512, 500_000
+TRAIN_SEGMENT, TRAIN_TOKENS = 1024, 1_000_000
 ROUNDS, SETTLED = 13, 1e-5
 SEED = 11
 FLUSH = 400_000
@@ -68,7 +68,7 @@ class Vocabulary:
     kinds: int  # V, the end included
     ends: int
     bucket_mass: np.ndarray  # sum of c + 0.1 over the words of each shared class, and 0.1 for unknown ones
-    bucket_counts: np.ndarray
+    least: int  # the count from which a word is heavy
 
     def __post_init__(self):
         own = min(OWN_CLASSES, len(self.heavy))
@@ -86,14 +86,17 @@ class Vocabulary:
         self.class_share = class_mass / class_mass.sum()
         self.base_norm = np.log10(self.total + 0.1 * (self.kinds + 1))
 
-    def code_arrays(self, texts: list[str], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-        """The codes of all tokens, one text behind the other, and the texts' lengths; the end is a text's last token."""
+    def code_arrays(self, texts: list[str], codes: Codes, rare: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all tokens, one text behind the other, and the texts' lengths; the end is a text's last token. rare takes each
+        text's words that aren't heavy."""
         end, parts, lengths = len(self.heavy) + BUCKETS, [], np.empty(len(texts), np.int64)
         for i, text in enumerate(texts):
             words = words_of(text)
             lengths[i] = len(words) + 1
-            parts.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
-            parts.append(np.array([end], np.int32))
+            found = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+            parts += [found, np.array([end], np.int32)]
+            if rare is not None:
+                rare.append(Counter([words[k] for k in np.flatnonzero(found >= len(self.heavy)).tolist()]))
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), lengths
 
 
@@ -163,39 +166,41 @@ def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> t
     before, behind = _edges(classes, text, first, size, model)
     order = np.argsort(-size, kind="stable")
     live = np.searchsorted(-size[order], -np.arange(size[order[0]]), side="left")  # segments that have a token t
-    start_of, emit = first[order], np.ascontiguousarray(model.emit.T)
-    own = [classes[start_of[:n] + t] for t, n in enumerate(live)]
-    seen, alphas, scales, state, likely = [], [], [], before[:, order], 0.0
-    for t, n in enumerate(live):
-        e = emit[:, own[t]]
-        a = (state if t == 0 else model.step.T @ state[:, :n]) * e
-        scale = a.sum(axis=0)
-        state = a / scale
-        likely += float(np.log10(scale).sum())
-        seen.append(e)
-        alphas.append(state)
-        scales.append(scale)
-    beta, gammas, last = np.zeros((STATES, 0)), [], np.empty((STATES, len(order)))
+    at = np.append(0, np.cumsum(live))  # the tokens, t by t
+    flat = classes[np.repeat(np.arange(len(live)), live) + first[order][np.arange(at[-1]) - np.repeat(at[:-1], live)]]
+    seen, alpha, scale = np.ascontiguousarray(model.emit.T)[:, flat], np.empty((STATES, at[-1])), np.empty(at[-1])
+    onward, back = np.ascontiguousarray(model.step.T), model.step
+    for t, n in enumerate(live.tolist()):
+        lo, hi = at[t], at[t + 1]
+        own = alpha[:, lo:hi]
+        np.multiply(onward @ alpha[:, at[t - 1] : at[t - 1] + n] if t else before[:, order], seen[:, lo:hi], out=own)
+        np.add.reduce(own, axis=0, out=scale[lo:hi])
+        own /= scale[lo:hi]
+    likely = float(np.log10(scale).sum())
+    beta, gamma, last, m = np.zeros((STATES, 0)), np.empty((STATES, at[-1])), np.empty((STATES, len(order))), 0
+    seen /= scale
     for t in range(len(live) - 1, -1, -1):
-        m, ends = beta.shape[1], order[beta.shape[1] : live[t]]
-        last[:, ends] = alphas[t][:, m:]
-        tail = behind[:, ends] / (alphas[t][:, m:] * behind[:, ends]).sum(axis=0)
+        own, ends = alpha[:, at[t] : at[t + 1]], order[m : live[t]]
+        if live[t] > m:
+            last[:, ends] = own[:, m:]
+            tail = behind[:, ends] / (own[:, m:] * behind[:, ends]).sum(axis=0)
         if m:
-            weighted = seen[t + 1] * beta / scales[t + 1]
-            steps += model.step * (alphas[t][:, :m] @ weighted.T)
-            beta = np.concatenate([model.step @ weighted, tail], axis=1)
+            weighted = seen[:, at[t + 1] : at[t + 1] + m] * beta
+            steps += own[:, :m] @ weighted.T
+            beta = back @ weighted if live[t] == m else np.concatenate([back @ weighted, tail], axis=1)
         else:
             beta = tail
-        gammas.append(alphas[t] * beta)
+        m = live[t]
+        np.multiply(own, beta, out=gamma[:, at[t] : at[t + 1]])
+    steps *= model.step
     # the step from a segment to the next one of its text
     entered = np.empty((STATES, len(order)))
-    entered[:, order] = seen[0] * beta
+    entered[:, order] = seen[:, : at[1]] * scale[: at[1]] * beta
     left = np.flatnonzero(~is_last)
     cross = last[:, left], entered[:, left + 1]
     norm = (cross[0] * (model.step @ cross[1])).sum(axis=0)
     steps += model.step * (cross[0] @ (cross[1] / norm).T)
-    starts += gammas[-1][:, is_first[order]].sum(axis=1)
-    flat, gamma = np.concatenate(own[::-1]), np.concatenate(gammas, axis=1)
+    starts += gamma[:, : at[1]][:, is_first[order]].sum(axis=1)
     for k in range(STATES):
         emitted[:, k] = np.bincount(flat, gamma[k], len(emitted))
     return starts, steps, emitted, likely
@@ -265,47 +270,78 @@ def word_counts(train: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
     per_bucket = counts.groupBy("bucket").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("kinds")).collect()  # BUCKETS rows
     total, kinds = sum(r.c for r in per_bucket) + n_texts, sum(r.kinds for r in per_bucket) + (n_texts > 0)
-    most = counts.filter(F.col("c") * HEAVY >= total).select("word", "c").collect()  # HEAVY rows at most, as their counts add up to total at most
+    level = F.floor(8 * F.log2("c")).alias("level")
+    levels = counts.groupBy(level).agg(F.min("c").alias("c"), F.count(F.lit(1)).alias("kinds")).collect()  # a few hundred rows
+    least, room = 1 << 62, HEAVY
+    for r in sorted(levels, key=lambda r: -r.c):
+        room -= r.kinds
+        if room < 0:
+            break
+        least = r.c
+    most = counts.filter(F.col("c") >= least).select("word", "c").collect()  # HEAVY rows at most
     most.sort(key=lambda r: (-r.c, bytes(r.word)))
     heavy, c = [bytes(r.word) for r in most], np.array([r.c for r in most], float)
-    mass, own = np.full(BUCKETS, 0.1), np.zeros(BUCKETS)
+    mass = np.full(BUCKETS, 0.1)
     for r in per_bucket:
         mass[r.bucket] += r.c + 0.1 * r.kinds
-        own[r.bucket] += r.c
     for w, n in zip(heavy[:OWN_CLASSES], c[:OWN_CLASSES].tolist(), strict=True):
         mass[bucket_of(w)] -= n + 0.1
-        own[bucket_of(w)] -= n
-    return Vocabulary(heavy, c, total, kinds, n_texts, np.maximum(mass, 0.1), own)
+    return Vocabulary(heavy, c, total, kinds, n_texts, np.maximum(mass, 0.1), least)
 
 
-def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all texts, in the cluster: until a round changes the likelihood by less than SETTLED of it, `rounds` at
-    most. The texts' classes are written once and read in every round."""
-    share = vocab.class_share
-    model = first_model(share)
+CODED = "doc_id long, taught boolean, crc long, n_tokens long, n_known long, base double, inside double, classes binary, words array<binary>, times array<int>"
+
+
+def coded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """What training and scoring need of every row (doc_id, taught, text): the classes of its tokens (two bytes each), what its heavy
+    words and its end give to the scores, and its rare words with their numbers."""
+    n_heavy = len(vocab.heavy)
 
     def encode(batches):
         codes = Codes(vocab.heavy)
+        names = [x.split()[0] for x in CODED.split(", ")]
         for batch in batches:
             for part in sliced(batch, 2_000_000):
-                found, lengths = vocab.code_arrays(part.column(0).to_pylist(), codes)
-                ends = np.cumsum(lengths)[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in np.split(vocab.class_of[found].astype(np.uint16), ends)], pa.binary())], names=["classes"])
+                texts = part.column("text").to_pylist()
+                rare: list[Counter] = []
+                found, lengths = vocab.code_arrays(texts, codes, rare)
+                owner = np.repeat(np.arange(len(lengths)), lengths)
+                known = (found < n_heavy) | (found == n_heavy + BUCKETS) & (vocab.ends > 0)
+                sums = lambda w: np.bincount(owner, w, len(lengths))  # noqa: E731, B023
+                of_class, at = vocab.class_of[found].astype("<u2").view(np.uint8), np.append(0, np.cumsum(2 * lengths))
+                classes = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(of_class)])
+                ends = pa.array(np.append(0, np.cumsum([len(x) for x in rare])), pa.int32())
+                columns = [part.column("doc_id"), part.column("taught"), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array(lengths), pa.array(sums(known).astype(np.int64))]
+                columns += [pa.array(sums(vocab.log_count[found]) - lengths * vocab.base_norm), pa.array(sums(vocab.log_inside[found])), classes]
+                columns += [pa.ListArray.from_arrays(ends, pa.array([x for own in rare for x in f(own)], kind)) for f, kind in ((Counter.keys, pa.binary()), (Counter.values, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return in_batches(rows.select("doc_id", "taught", "text")).mapInArrow(encode, CODED)
+
 
-    coded = settle(rows.select("text").mapInArrow(encode, "classes binary"), "lm-classes")
+def train(rows: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """The model of all texts of rows (doc_id, text)."""
+    return fitted(settle(coded(rows.withColumn("taught", F.lit(True)), vocab), "lm-coded"), vocab, rounds)
+
+
+def fitted(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Baum-Welch over all coded texts, in the cluster: until a round changes the likelihood by less than SETTLED of it, `rounds` at
+    most. Every round reads the classes that were written once."""
+    share = vocab.class_share
+    model = first_model(share)
     n_steps, n_classes, before = STATES * STATES, vocab.n_classes, None
     for _ in range(rounds):
 
         def expect(batches, model=model):
             sums = np.zeros(STATES + n_steps + n_classes * STATES + 1)
-            for texts in _some_tokens(batches):
-                classes, lengths = np.frombuffer(b"".join(texts), np.uint16), np.fromiter(map(len, texts), np.int64, len(texts)) // 2
+            for some in _some_tokens(batches):
+                classes, lengths = np.frombuffer(b"".join(some), "<u2"), np.fromiter(map(len, some), np.int64, len(some)) // 2
                 sums += np.concatenate([np.ravel(x) for x in expected_counts(classes, lengths, model)])
             at = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(sums[at])], names=["at", "n"])
 
         total = np.zeros(STATES + n_steps + n_classes * STATES + 1)
-        for r in in_batches(coded).mapInArrow(expect, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        for r in in_batches(texts.select("classes")).mapInArrow(expect, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).collect():
             total[r["at"]] = r.n
         start, steps, emit, likely = np.split(total, np.cumsum([STATES, n_steps, n_classes * STATES]))
         model = refit((start, steps.reshape(STATES, STATES), emit.reshape(n_classes, STATES)), share)
@@ -336,45 +372,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Learns from the rows whose crc32(id as text) mod folds isn't 0. An empty or null text is just its end. Without training
     texts all counts are 0. Rows that repeat an id and text get the same scores.
     """
-    rows = in_batches(id_and_text(docs, id_col, text_col))
-    taught = rows.filter(fold_of(F.col("doc_id"), folds) != 0)
-    counts = settle(word_counts(taught), "lm-counts")
-    n_texts = docs.filter(fold_of(F.col(id_col), folds) != 0).count()
-    vocab = vocabulary(counts, n_texts)
-    model = train(taught, vocab)
-    n_heavy = len(vocab.heavy)
+    rows = in_batches(id_and_text(docs, id_col, text_col)).withColumn("taught", fold_of(F.col("doc_id"), folds) != 0)
+    counts = settle(word_counts(rows.filter("taught")), "lm-counts")
+    vocab = vocabulary(counts, docs.filter(fold_of(F.col(id_col), folds) != 0).count())
+    texts = settle(coded(rows, vocab), "lm-coded")
+    model = fitted(texts.filter("taught"), vocab)
 
-    def own_part(batches):
-        codes = Codes(vocab.heavy)
-        for batch in batches:
-            for part in sliced(batch, 2_000_000):
-                texts = part.column("text").to_pylist()
-                found, lengths = vocab.code_arrays(texts, codes)
-                owner = np.repeat(np.arange(len(lengths)), lengths)
-                known = (found < n_heavy) | (found == n_heavy + BUCKETS) & (vocab.ends > 0)
-                sums = lambda w: np.bincount(owner, w, len(lengths))  # noqa: E731, B023
-                likely = log_likelihoods(vocab.class_of[found], lengths, model) + sums(vocab.log_inside[found])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), pa.array(lengths), pa.array(sums(known).astype(np.int64)), pa.array(sums(vocab.log_count[found]) - lengths * vocab.base_norm), pa.array(likely)],
-                    names=["doc_id", "crc", "n_tokens", "n_known", "base", "likely"],
-                )
-
-    def rare_part(batches):
-        heavy = set(vocab.heavy)
+    def likelihood(batches):
         for batch in batches:
-            for part in sliced(batch, 500_000):
-                ids, crcs, words, times = [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    rare = Counter(w for w in words_of(text) if w not in heavy)
-                    ids += [doc_id] * len(rare)
-                    crcs += [zlib.crc32(text.encode())] * len(rare)
-                    words += rare
-                    times += rare.values()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(words, pa.binary()), pa.array(times, pa.int32())], names=["doc_id", "crc", "word", "n"])
-
-    own = rows.mapInArrow(own_part, "doc_id long, crc long, n_tokens long, n_known long, base double, likely double")
-    rare = rows.mapInArrow(rare_part, "doc_id long, crc long, word binary, n int").filter("word IS NOT NULL")
-    light = counts.filter(F.col("c") * HEAVY < vocab.total).select("word", "c")
+            for part in sliced(batch, 1_000_000):
+                lengths = part.column("n_tokens").to_numpy()
+                classes = np.frombuffer(b"".join(x.as_py() for x in part.column("classes")), "<u2")
+                likely = log_likelihoods(classes, lengths, model) + part.column("inside").to_numpy()
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(likely)], names=[*kept, "likely"])
+
+    kept = ["doc_id", "crc", "n_tokens", "n_known", "base"]
+    own = texts.select(*kept, "inside", "classes").mapInArrow(likelihood, "doc_id long, crc long, n_tokens long, n_known long, base double, likely double")
+    rare = texts.select("doc_id", "crc", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "crc", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    light = counts.filter(F.col("c") < vocab.least).select("word", "c")
     c = F.coalesce("c", F.lit(0))
     joined = rare.join(light.hint("merge"), "word", "left").groupBy("doc_id", "crc").agg(F.sum(F.col("n") * F.log10(c + 0.1)).alias("rare"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
     joined = joined.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "rare", "rare_known")
