@@ -80,29 +80,49 @@ class Conformal:
         insort(self.ranked, score)
 
 
-def fixed_cusum(xs, k: float = 0.5, h: float = 5.0, mu: float = 0.0, sigma: float = 1.0, min_gap: int = 10) -> list[int]:
-    """Places where a CUSUM with known mean and deviation fires, more than min_gap apart."""
-    up = down = 0.0
-    fired: list[int] = []
-    for t, x in enumerate(xs):
-        z = (x - mu) / sigma
-        up, down = max(0.0, up + z - k), max(0.0, down - z - k)
-        if (up > h or down > h) and (not fired or t - fired[-1] > min_gap):
-            fired.append(t)
-            up = down = 0.0
-    return fired
+@dataclass
+class FixedCusum:
+    """A CUSUM with known mean and deviation, which fires more than min_gap values apart."""
+
+    k: float = 0.5
+    h: float = 5.0
+    mu: float = 0.0
+    sigma: float = 1.0
+    min_gap: int = 10
+    up: float = 0.0
+    down: float = 0.0
+    quiet: float = math.inf  # values since it fired
+
+    def check(self, x: float) -> bool:
+        z = (x - self.mu) / self.sigma
+        self.up, self.down, self.quiet = max(0.0, self.up + z - self.k), max(0.0, self.down - z - self.k), self.quiet + 1
+        fired = (self.up > self.h or self.down > self.h) and self.quiet > self.min_gap
+        if fired:
+            self.up = self.down = self.quiet = 0.0
+        return fired
+
+
+def fixed_cusum(xs, **options) -> list[int]:
+    """Places where a FixedCusum fires."""
+    detector = FixedCusum(**options)
+    return [t for t, x in enumerate(xs) if detector.check(x)]
+
+
+#: The increment and the two factors of SplitMix64.
+GAMMA, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def splitmix64(seed: int):
     """The SplitMix64 sequence of a seed."""
     while True:
-        seed = (seed + 0x9E3779B97F4A7C15) & MASK
+        seed = (seed + GAMMA) & MASK
         z = seed
-        z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & MASK
-        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & MASK
+        z = ((z ^ (z >> 30)) * MIX1) & MASK
+        z = ((z ^ (z >> 27)) * MIX2) & MASK
         yield z ^ (z >> 31)
 
 
+#: The offset basis and the prime of 64-bit FNV-1a.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 

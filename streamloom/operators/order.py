@@ -63,3 +63,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{folder}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """table marked for broadcasting if it has no more rows than that; otherwise the planner decides, by the sizes it finds."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table

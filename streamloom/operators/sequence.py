@@ -41,3 +41,14 @@ def epochs(rows: DataFrame, is_reset: str = "is_reset") -> DataFrame:
     """Number of resets at or before each row."""
     own = F.col(is_reset).cast("long")
     return running(rows, "epoch", own, "sum").withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("long")) + F.coalesce(own, F.lit(0).cast("long")))
+
+
+def accept_between_resets(rows: DataFrame, by: str = "seq", is_reset: str = "is_reset") -> DataFrame:
+    """Add epoch, last and accepted: as accept(), but a reset row makes all streams forget what they had seen."""
+    return accept(epochs(rows, is_reset).filter(~F.coalesce(F.col(is_reset), F.lit(False))), by, ("epoch", "stream_id"))
+
+
+def track_registered(rows: DataFrame, key: str, most: int, base: int = 0, levels: int = 2) -> DataFrame:
+    """Messages of the first `most` keys, dropped unless their time advances and numbered from 1 within each key."""
+    known = register(rows, key, most, base)
+    return number(known, "stream_id", levels)

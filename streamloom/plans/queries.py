@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamloom.operators import evaluate, faults, fold, rules, sequence
 from streamloom.operators.fold import Profile
-from streamloom.plans import engine
+from streamloom.operators.order import numbered, settle
+from streamloom.plans import engine, feed
 from streamloom.sources import frames
 
 PROFILE = Profile(ewma_alpha=0.05, cusum_alpha=0.01, cusum_k=0.5, cusum_h=5.0, window=200, conformal_alpha=0.01)
 STREAMS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
-SPECS = [("spike", 1, 30, 2, 100.0), ("drift", 2, 20, 20, 10.0), ("stuck_at_value", 3, 15, 10, 0.0), ("dropout", 4, 10, 5, 0.0), ("spike", 2, 25, 3, 50.0)]
+SPECS = [("spike", 1, 30, 2, 100.0), ("drift", 2, 20, 20, 10.0), ("stuck_at_value", 3, 15, 10, 0.0), ("dropout", 4, 10, 5, 0.0), ("spike", 2, 25, 3, 50.0), ("spike", 5, None, 2, 75.0), ("drift", 1, None, 30, 40.0)]
+SEED, WARMUP = 42, 200
 T0 = 1_000_000_000
 
 
@@ -52,13 +54,12 @@ def _concurrent(spark, d):
 
 
 def _labels(spark, d):
-    return faults.inject(messages(spark, d), SPECS)[1]
+    return faults.inject(messages(spark, d), SPECS, SEED)[1]
 
 
 def _matched(spark, d):
-    bad, labels = faults.inject(messages(spark, d), SPECS)
-    a = engine.alerts(bad, rule_table(spark), PROFILE).filter("layer = 'rules'")
-    return evaluate.match_labels(a, labels).groupBy("layer", "label").agg(F.count(F.lit(1)).alias("n"))
+    bad, labels = faults.inject(messages(spark, d), SPECS, SEED)
+    return evaluate.match_labels(engine.alerts(bad, rule_table(spark), PROFILE), labels).groupBy("layer", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _polls(spark, d):
@@ -73,8 +74,7 @@ def _tickers(spark, d):
     m = messages(spark, d)
     time = F.date_format(F.timestamp_micros(F.expr("ts_ns DIV 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     raw = m.select("pos", F.to_json(F.struct(F.when(F.col("pos") % 7 == 0, "heartbeat").otherwise("ticker").alias("type"), F.concat(F.lit("P"), F.col("stream_id")).alias("product_id"), F.col("value").cast("string").alias("price"), time.alias("time"), F.col("seq").alias("trade_id"), F.col("seq").alias("last_trade_id"))).alias("raw"))
-    products = spark.createDataFrame([(f"P{i}", i) for i in range(1, 5)], "product_id string, stream_id long")
-    return frames.ticker_frames(raw, products)
+    return frames.ticker_frames(raw, products(spark))
 
 
 def _registry(spark, d):
@@ -83,40 +83,115 @@ def _registry(spark, d):
 
 
 def _fires(spark, d):
-    m = fold.detect(messages(spark, d), PROFILE)
-    placed = m.withColumn("j", F.row_number().over(Window.partitionBy("stream_id").orderBy("pos")).cast("long") - 1)
+    m = fold.detect(messages(spark, d), PROFILE, ("cusum",))
+    placed = numbered(m, "nth", keys=("stream_id",)).withColumn("j", F.col("nth") - 1)
     return evaluate.detection_score(placed.filter("cusum_fired").select("stream_id", "j"), 50)
 
 
+def repeated(spark, d):
+    """The messages with repeats and stragglers: every seventh has an older number, every eleventh the same as the one before it."""
+    older = F.when(F.col("pos") % 7 == 5, F.col("seq") - 20).when(F.col("pos") % 11 == 3, F.col("seq") - 1).otherwise(F.col("seq"))
+    return messages(spark, d).withColumn("seq", older)
+
+
+def _resets(spark, d):
+    m = repeated(spark, d).withColumn("is_reset", F.col("pos") % 997 == 996)
+    return sequence.accept_between_resets(m).select("pos", "stream_id", "epoch", "last", "accepted")
+
+
+def _adsb(spark, d):
+    """Snapshots of ten aircraft each, an hour apart, made of the table: an aircraft is seen up to three seconds before, on the ground, or
+    without a place."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("pos"), "user_id", "value")
+    hour, k = F.floor(F.col("pos") / 10).cast("long"), (F.col("pos") % 10).cast("int")
+    craft = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id") % 40).alias("hex"), F.when(F.col("pos") % 13 != 4, F.lit(1.5)).alias("lat"), F.lit(2).alias("lon"), (F.col("pos") % 7 / 2.0).alias("seen"), F.col("value").alias("alt_baro")))
+    ground = F.replace(craft, F.concat(F.lit('"alt_baro":'), F.col("value").cast("string")), F.lit('"alt_baro":"ground"'))
+    raw = e.groupBy(hour.alias("pos")).agg(F.sort_array(F.collect_list(F.struct(k.alias("k"), F.when(F.col("pos") % 17 == 3, ground).otherwise(craft).alias("c")))).alias("cs"))
+    raw = raw.select("pos", F.concat(F.lit('{"now":'), (F.col("pos") * 3_600_000).cast("string"), F.lit(',"ac":['), F.array_join(F.transform("cs", lambda c: c["c"]), ","), F.lit("]}")).alias("raw"))
+    seen = sequence.track_registered(frames.adsb_snapshots(raw), "hex", 25, 100)
+    return seen.select("stream_id", "ts_ns", "value", "seq")
+
+
+def feed_frames(spark, d):
+    """Push frames of the table: heartbeats, a product that nobody asked for, frames cut short, numbers that repeat, and resets."""
+    m = repeated(spark, d)
+    time = F.date_format(F.timestamp_micros(F.expr("ts_ns DIV 1000")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    raw = F.to_json(F.struct(F.when(F.col("pos") % 19 == 0, "heartbeat").otherwise("ticker").alias("type"), F.concat(F.lit("P"), F.col("stream_id")).alias("product_id"), F.col("value").cast("string").alias("price"), time.alias("time"), F.col("seq").alias("trade_id"), F.col("seq").alias("last_trade_id")))
+    reset = F.col("pos") % 997 == 996
+    return m.filter("seq >= 0").select("pos", F.when(reset, None).when(F.col("pos") % 23 == 9, F.left(raw, F.lit(40))).otherwise(raw).alias("raw"), reset.alias("is_reset"))
+
+
+def products(spark) -> DataFrame:
+    return spark.createDataFrame([(f"P{i}", i) for i in range(1, 5)], "product_id string, stream_id long")
+
+
+def _feed_alerts(spark, d):
+    return feed.feed_alerts(feed_frames(spark, d), products(spark), rule_table(spark), PROFILE)
+
+
+def _feed_counters(spark, d):
+    f = feed_frames(spark, d)
+    found = settle(feed.feed_alerts(f, products(spark), rule_table(spark), PROFILE))
+    return feed.counters(f, products(spark), found).withColumn("streams", F.array_join("streams", ","))
+
+
+def _percentiles(spark, d):
+    return evaluate.order_statistics(messages(spark, d), "value", {"p50": 0.5, "p99": 0.99, "p999": 0.999})
+
+
+def _status(spark, d):
+    m = messages(spark, d)
+    return engine.status(m, settle(found(spark, d)), rule_table(spark)).withColumn("streams", F.array_join("streams", ","))
+
+
+HYPOTHESES = (*evaluate.FAULT_OF, "unknown")
+
+
+def _scores(spark, d):
+    """Memos with each hypothesis in turn, on the faulty stream's alerts."""
+    bad, labels = faults.inject(messages(spark, d), SPECS, SEED)
+    cases = settle(evaluate.match_labels(engine.alerts(bad, rule_table(spark), PROFILE), labels).select((F.col("id") - 1).alias("case_idx"), F.col("label").alias("type")))
+    said = F.element_at(F.array(*map(F.lit, HYPOTHESES)), (F.col("case_idx") % len(HYPOTHESES) + 1).cast("int"))
+    memos = cases.select("case_idx", said.alias("hypothesis"), (F.col("case_idx") % 4 / 4.0).alias("judge"))
+    return evaluate.accuracy(evaluate.judged(memos, cases))
+
+
 QUERIES = {
     "messages_normalize": messages,
     "rules_check": lambda s, d: rules.check_rules(messages(s, d), rule_table(s)).select("pos", "stream_id", "rule_result"),
-    "seq_accept": lambda s, d: sequence.accept(messages(s, d)).select("pos", "stream_id", "last", "accepted"),
+    "seq_accept": lambda s, d: sequence.accept(repeated(s, d)).select("pos", "stream_id", "last", "accepted"),
     "seq_gap_events": lambda s, d: sequence.sequence_gaps(messages(s, d)),
     "time_gap_events": lambda s, d: sequence.time_gaps(messages(s, d)),
     "adapter_seq": lambda s, d: sequence.number(messages(s, d).drop("seq")).select("pos", "stream_id", "seq"),
     "stream_registry_cap": _registry,
     "reset_epochs": lambda s, d: sequence.epochs(messages(s, d).withColumn("is_reset", F.col("pos") % 997 == 996)).select("pos", "epoch"),
-    "ewma_zscore": lambda s, d: fold.detect(messages(s, d), PROFILE).select("pos", "mean", "variance", "z"),
-    "cusum_state": lambda s, d: fold.detect(messages(s, d), PROFILE).select("pos", "cusum_high", "cusum_low", "cusum_fired"),
-    "conformal_threshold": lambda s, d: fold.detect(messages(s, d), PROFILE).select("pos", F.when(F.col("threshold") < float("inf"), F.col("threshold")).alias("threshold"), "anomalous"),
+    "ewma_zscore": lambda s, d: fold.detect(messages(s, d), PROFILE, ("ewma",)).select("pos", "mean", "variance", "z"),
+    "cusum_state": lambda s, d: fold.detect(messages(s, d), PROFILE, ("cusum",)).select("pos", "cusum_high", "cusum_low", "cusum_fired"),
+    "conformal_threshold": lambda s, d: fold.detect(messages(s, d), PROFILE, ("conformal",)).select("pos", F.when(F.col("threshold") < float("inf"), F.col("threshold")).alias("threshold"), "anomalous"),
     "fixed_cusum": lambda s, d: fold.fixed_cusum_fires(messages(s, d), k=0.5, h=5.0, mu=50.0, sigma=50.0, min_gap=10),
     "bocpd_map_run": lambda s, d: fold.changepoints(messages(s, d), mu=50.0, beta=2500.0),
-    "pipeline_alerts": lambda s, d: found(s, d).select("id", "stream_id", "ts_ns", "layer"),
+    "pipeline_alerts": lambda s, d: found(s, d),
     "alert_counts_by_layer": lambda s, d: engine.raised(messages(s, d), rule_table(s), PROFILE).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "alerts_latest_n": lambda s, d: engine.latest(found(s, d), 20).select("id", "stream_id", "ts_ns", "layer"),
     "alerts_concurrent": _concurrent,
     "window_slice": _slice,
     "baseline_asof": _asof,
     "stream_stats": lambda s, d: engine.stream_stats(messages(s, d)),
-    "fault_inject": lambda s, d: faults.inject(messages(s, d), SPECS)[0],
+    "fault_inject": lambda s, d: faults.inject(messages(s, d), SPECS, SEED)[0],
     "fault_labels": _labels,
     "label_match": _matched,
     "detection_delay": _fires,
-    "alarm_rate": lambda s, d: fold.detect(messages(s, d), PROFILE).groupBy("stream_id").agg(F.avg(F.col("anomalous").cast("double")).alias("rate"), F.count(F.lit(1)).alias("n")),
+    "alarm_rate": lambda s, d: evaluate.alarm_rate(fold.detect(messages(s, d), PROFILE, ("conformal",)), WARMUP),
     "checksum_per_stream": lambda s, d: fold.checksums(messages(s, d)),
     "json_polls": _polls,
     "json_tickers": _tickers,
+    "reset_accept": _resets,
+    "adsb_tracks": _adsb,
+    "feed_alerts": _feed_alerts,
+    "feed_counters": _feed_counters,
+    "value_percentiles": _percentiles,
+    "engine_status": _status,
+    "memo_scores": _scores,
 }
 
 _M = """m AS (SELECT event_id AS pos, CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 END AS BIGINT) AS stream_id,
@@ -129,7 +204,8 @@ def _ruled(source: str) -> str:
   FROM (SELECT *, lag(value) OVER w AS pv, lag(ts_ns) OVER w AS pt FROM {source} WINDOW w AS (PARTITION BY stream_id ORDER BY pos)))"""
 
 
-_FOLD = f"""{_M}, o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS rn FROM m),
+def _folded(source: str) -> str:
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS rn FROM {source}),
 f AS (WITH RECURSIVE f(stream_id, rn, pos, ts_ns, mean, variance, z, cm, cv, high, low, fired) AS (
   SELECT stream_id, rn, pos, ts_ns, 5e-2 * value, 5e-2 * value * value, 0e0, value, 0e0, 0e0, 0e0, false FROM o WHERE rn = 1
   UNION ALL
@@ -146,20 +222,48 @@ f AS (WITH RECURSIVE f(stream_id, rn, pos, ts_ns, mean, variance, z, cm, cv, hig
 c AS (SELECT *, s[CAST(least(greatest(ceil((1e0 - 1e-2) * len(s)) - 1, 0), len(s) - 1) AS BIGINT) + 1] AS threshold FROM (
   SELECT *, list_sort(list(abs(z)) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING)) AS s FROM f)),
 d AS (SELECT *, coalesce(abs(z) > threshold, false) AS anomalous FROM c)"""
-_ALERTS = f"""{_FOLD}, {_ruled('m')}, al AS (SELECT row_number() OVER (ORDER BY pos, k) AS id, stream_id, ts_ns, layer FROM (
-  SELECT pos, 1 AS k, stream_id, ts_ns, 'rules' AS layer FROM ru WHERE rule_result <> 'ok'
-  UNION ALL SELECT pos, 2, stream_id, ts_ns, 'cusum' FROM d WHERE fired UNION ALL SELECT pos, 3, stream_id, ts_ns, 'conformal' FROM d WHERE anomalous))"""
+
+
+def _alerted(source: str, more: str = "") -> str:
+    return f"""{_folded(source)}, {_ruled(source)}, al AS (SELECT row_number() OVER (ORDER BY pos, k) AS id, stream_id, ts_ns, layer, detail FROM (
+  SELECT pos, 1 AS k, stream_id, ts_ns, 'rules' AS layer, replace(rule_result, 'rate_of_change', 'rate_violation') AS detail FROM ru WHERE rule_result <> 'ok'
+  UNION ALL SELECT pos, 2, stream_id, ts_ns, 'cusum', 'changepoint' FROM d WHERE fired
+  UNION ALL SELECT pos, 3, stream_id, ts_ns, 'conformal', printf('score=%.4f>thr=%.4f', abs(z), threshold) FROM d WHERE anomalous {more}))"""
+
+
+_FOLD = f"{_M}, {_folded('m')}"
+_ALERTS = f"{_M}, {_alerted('m')}"
+_REPEATED = f"""{_M}, rp AS (SELECT * REPLACE (CASE WHEN pos % 7 = 5 THEN seq - 20 WHEN pos % 11 = 3 THEN seq - 1 ELSE seq END AS seq) FROM m)"""
+def _draw(nth: int) -> str:
+    """The nth SplitMix64 draw of SEED, which depends on no other."""
+    z = f"(({SEED} + {nth} * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+    for shift, factor in ((30, 13787848793156543929), (27, 10723151780598845931)):
+        z = f"(SELECT (xor(z, z >> {shift}) * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT FROM (SELECT {z} AS z))"
+    return f"(SELECT xor(z, z >> 31) FROM (SELECT {z} AS z))"
+
+
+def _auto(nth: int, stream: int, duration: int) -> str:
+    return f"(SELECT CAST({_draw(nth)} % (greatest(count(*) - {duration}, 0) + 1)::UHUGEINT AS BIGINT) FROM m WHERE stream_id = {stream})"
+
+
 _FAULTS = f"""{_M}, j AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) - 1 AS j, count(*) OVER (PARTITION BY stream_id) AS n FROM m),
-sp(i, type, sid, onset, dur, mag) AS (VALUES (0, 'spike', 1, 30, 2, 100e0), (1, 'drift', 2, 20, 20, 10e0), (2, 'stuck_at_value', 3, 15, 10, 0e0), (3, 'dropout', 4, 10, 5, 0e0), (4, 'spike', 2, 25, 3, 50e0)),
+sp(i, type, sid, onset, dur, mag) AS (SELECT 0, 'spike', 1, 30, 2, 100e0 UNION ALL SELECT 1, 'drift', 2, 20, 20, 10e0 UNION ALL SELECT 2, 'stuck_at_value', 3, 15, 10, 0e0 UNION ALL SELECT 3, 'dropout', 4, 10, 5, 0e0
+  UNION ALL SELECT 4, 'spike', 2, 25, 3, 50e0 UNION ALL SELECT 5, 'spike', 5, {_auto(1, 5, 2)}, 2, 75e0 UNION ALL SELECT 6, 'drift', 1, {_auto(2, 1, 30)}, 30, 40e0),
 h AS (SELECT j.*, i, type, onset, dur, mag, (SELECT value FROM j q WHERE q.stream_id = sid AND q.j = onset) AS held FROM j JOIN sp ON stream_id = sid AND j.j BETWEEN onset AND least(onset + dur - 1, n - 1)),
 v AS (SELECT pos, arg_max(CASE type WHEN 'spike' THEN value + mag WHEN 'drift' THEN value + mag * (CAST(j - onset + 1 AS DOUBLE) / CAST(dur AS DOUBLE)) ELSE held END, i) FILTER (WHERE type <> 'dropout') AS nv, bool_or(type = 'dropout') AS gone FROM h GROUP BY pos),
 x AS (SELECT m.pos, stream_id, ts_ns, coalesce(nv, value) AS value, seq FROM m LEFT JOIN v ON m.pos = v.pos WHERE gone IS NULL OR NOT gone),
 la AS (SELECT i AS label_idx, CAST(sid AS BIGINT) AS stream_id, type, a.ts_ns AS t_start_ns, b.ts_ns AS t_end_ns FROM sp JOIN j a ON a.stream_id = sid AND a.j = onset JOIN j b ON b.stream_id = sid AND b.j = least(onset + dur - 1, b.n - 1))"""
 
+_FEED = f"""{_REPEATED}, ep AS (SELECT *, sum(CASE WHEN pos % 997 = 996 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS epoch FROM rp WHERE seq >= 0),
+fa AS (SELECT *, pos % 19 <> 0 AS tick FROM (SELECT *, max(seq) OVER (PARTITION BY epoch, stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
+  FROM ep WHERE pos % 997 <> 996 AND pos % 23 <> 9 AND stream_id < 5) WHERE last IS NULL OR seq > last),
+k AS (SELECT pos, stream_id, ts_ns, value, seq FROM fa WHERE tick)"""
+_FEED_ALERTS = _alerted("k", "UNION ALL SELECT pos, 0, stream_id, 0, 'feed', 'gap seq ' || last || '->' || seq FROM fa WHERE seq > last + 1")
+
 SQL = {
     "messages_normalize": f"WITH {_M} SELECT * FROM m",
     "rules_check": f"WITH {_M}, {_ruled('m')} SELECT pos, stream_id, rule_result FROM ru",
-    "seq_accept": f"WITH {_M} SELECT pos, stream_id, last, coalesce(seq > last, true) AS accepted FROM (SELECT *, max(seq) {_W} AS last FROM m)",
+    "seq_accept": f"WITH {_REPEATED} SELECT pos, stream_id, last, coalesce(seq > last, true) AS accepted FROM (SELECT *, max(seq) {_W} AS last FROM rp)",
     "seq_gap_events": f"WITH {_M} SELECT stream_id, last AS from_seq, seq AS to_seq, pos FROM (SELECT *, max(seq) {_W} AS last FROM m) WHERE seq > last + 1",
     "time_gap_events": f"WITH {_M} SELECT stream_id, last AS from_ts, ts_ns AS to_ts, pos FROM (SELECT *, max(ts_ns) {_W} AS last FROM m) WHERE ts_ns - last > 1000000000",
     "adapter_seq": f"WITH {_M} SELECT pos, stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS seq FROM (SELECT *, max(ts_ns) {_W} AS last FROM m) WHERE last IS NULL OR ts_ns > last",
@@ -170,8 +274,8 @@ SQL = {
     "conformal_threshold": f"WITH {_FOLD} SELECT pos, threshold, anomalous FROM d",
     "pipeline_alerts": f"WITH {_ALERTS} SELECT * FROM al",
     "alert_counts_by_layer": f"WITH {_ALERTS} SELECT layer, count(*) AS n FROM al GROUP BY layer",
-    "alerts_latest_n": f"WITH {_ALERTS} SELECT * FROM al ORDER BY id DESC LIMIT 20",
-    "alerts_concurrent": f"WITH {_ALERTS} SELECT * FROM al WHERE ts_ns BETWEEN (SELECT min(ts_ns) FROM m) AND (SELECT min(ts_ns) FROM m) + 6000 * 1000000000::BIGINT",
+    "alerts_latest_n": f"WITH {_ALERTS} SELECT id, stream_id, ts_ns, layer FROM al ORDER BY id DESC LIMIT 20",
+    "alerts_concurrent": f"WITH {_ALERTS} SELECT id, stream_id, ts_ns, layer FROM al WHERE ts_ns BETWEEN (SELECT min(ts_ns) FROM m) AND (SELECT min(ts_ns) FROM m) + 6000 * 1000000000::BIGINT",
     "window_slice": f"WITH {_M} SELECT ts_ns, value FROM m WHERE stream_id = 1 AND ts_ns BETWEEN (SELECT min(ts_ns) FROM m) + 60000000000 AND (SELECT min(ts_ns) FROM m) + 6000000000000",
     "fixed_cusum": f"""WITH {_M}, o AS (SELECT stream_id, pos, (value - 5e1) / 5e1 AS z, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS rn FROM m),
       g AS (WITH RECURSIVE g(stream_id, rn, pos, up, down, quiet, fired) AS (
@@ -191,11 +295,30 @@ SQL = {
     "stream_stats": f"WITH {_M} SELECT stream_id, count(*) AS processed, arg_max(ts_ns, pos) AS last_ts_ns, max(seq) AS last_seq FROM m GROUP BY stream_id",
     "fault_inject": f"WITH {_FAULTS} SELECT * FROM x",
     "fault_labels": f"WITH {_FAULTS} SELECT * FROM la",
-    "label_match": f"""WITH {_FAULTS}, {_ruled('x')}, a AS (SELECT pos, stream_id, ts_ns FROM ru WHERE rule_result <> 'ok')
-      SELECT 'rules' AS layer, coalesce((SELECT arg_min(type, (t_start_ns, label_idx)) FROM la WHERE la.stream_id = a.stream_id AND a.ts_ns BETWEEN t_start_ns AND t_end_ns), 'false_alarm') AS label, count(*) AS n FROM a GROUP BY ALL""",
+    "label_match": f"""WITH {_FAULTS}, {_alerted('x')}
+      SELECT layer, label, count(*) AS n FROM (SELECT layer, coalesce((SELECT arg_min(type, (t_start_ns, label_idx)) FROM la WHERE la.stream_id = a.stream_id AND a.ts_ns BETWEEN t_start_ns AND t_end_ns), 'false_alarm') AS label FROM al a)
+      GROUP BY layer, label""",
     "detection_delay": f"WITH {_FOLD} SELECT stream_id, min(rn - 1) FILTER (WHERE rn > 50) AS first_fire, min(rn - 1) FILTER (WHERE rn > 50) - 50 AS delay, count(*) FILTER (WHERE rn <= 50) AS false_alarms FROM f WHERE fired GROUP BY stream_id",
-    "alarm_rate": f"WITH {_FOLD} SELECT stream_id, avg(CAST(anomalous AS DOUBLE)) AS rate, count(*) AS n FROM d GROUP BY stream_id",
+    "alarm_rate": f"WITH {_FOLD} SELECT stream_id, avg(CAST(anomalous AS DOUBLE)) AS rate, count(*) AS n FROM d WHERE rn > {WARMUP} GROUP BY stream_id",
     "json_polls": f"WITH {_M} SELECT 7::BIGINT AS stream_id, ts_ns, value, row_number() OVER (ORDER BY pos) AS seq FROM m",
     "json_tickers": f"""WITH {_M} SELECT pos, CASE WHEN stream_id = 5 THEN 'skipped' WHEN pos % 7 = 0 THEN 'heartbeat' ELSE 'ok' END AS parse_result, CASE WHEN stream_id < 5 THEN stream_id END AS stream_id,
       CASE WHEN stream_id < 5 AND pos % 7 <> 0 THEN ts_ns END AS ts_ns, CASE WHEN stream_id < 5 AND pos % 7 <> 0 THEN value END AS value, CASE WHEN stream_id < 5 THEN seq END AS seq FROM m""",
+    "reset_accept": f"""WITH {_REPEATED}, ep AS (SELECT *, CAST(sum(CASE WHEN pos % 997 = 996 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS BIGINT) AS epoch FROM rp)
+      SELECT pos, stream_id, epoch, last, coalesce(seq > last, true) AS accepted FROM (
+        SELECT *, max(seq) OVER (PARTITION BY epoch, stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM ep WHERE pos % 997 <> 996)""",
+    "adsb_tracks": """WITH a AS (SELECT event_id AS pos, user_id % 40 AS hex, (event_id // 10) * 3600000000000 - (event_id % 7) * 500000000 AS ts_ns, CASE WHEN event_id % 17 = 3 THEN 0e0 ELSE value END AS value
+        FROM events WHERE event_id % 13 <> 4),
+      r AS (SELECT hex, 99 + row_number() OVER (ORDER BY min(pos)) AS stream_id FROM a GROUP BY hex QUALIFY stream_id < 125),
+      t AS (SELECT *, max(ts_ns) OVER (PARTITION BY stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM a JOIN r USING (hex))
+      SELECT stream_id, ts_ns, value, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS seq FROM t WHERE last IS NULL OR ts_ns > last""",
+    "feed_alerts": f"""WITH {_FEED}, {_FEED_ALERTS} SELECT * FROM al""",
+    "feed_counters": f"""WITH {_FEED}, {_FEED_ALERTS} SELECT (SELECT count(*) FROM rp WHERE seq >= 0 AND pos % 997 <> 996) AS received, (SELECT count(*) FROM k) AS pushed,
+        (SELECT count(*) FROM rp WHERE seq >= 0 AND pos % 997 <> 996 AND pos % 23 = 9) AS parse_failures, (SELECT count(*) FROM fa WHERE seq > last + 1) AS gaps,
+        (SELECT count(*) FROM rp WHERE seq >= 0 AND pos % 997 = 996) AS reconnects, (SELECT count(*) FROM al) AS alerts,
+        (SELECT arg_max(ts_ns, pos) FROM k) AS last_ts_ns, (SELECT string_agg(DISTINCT stream_id, ',' ORDER BY stream_id) FROM k) AS streams""",
+    "value_percentiles": f"WITH {_M}, v AS (SELECT list_sort(list(value)) AS v FROM m) SELECT v[1 + CAST(floor(5e-1 * (len(v) - 1)) AS BIGINT)] AS p50, v[1 + CAST(floor(99e-2 * (len(v) - 1)) AS BIGINT)] AS p99, v[1 + CAST(floor(999e-3 * (len(v) - 1)) AS BIGINT)] AS p999 FROM v",
+    "engine_status": f"WITH {_ALERTS} SELECT (SELECT count(*) FROM m) AS processed, (SELECT string_agg(DISTINCT stream_id, ',' ORDER BY stream_id) FROM m) AS streams, (SELECT arg_max(ts_ns, pos) FROM m) AS last_ts_ns, (SELECT count(*) FROM al) AS alerts",
+    "memo_scores": f"""WITH {_FAULTS}, {_alerted('x')}, ca AS (SELECT id - 1 AS c, coalesce((SELECT arg_min(type, (t_start_ns, label_idx)) FROM la WHERE la.stream_id = a.stream_id AND a.ts_ns BETWEEN t_start_ns AND t_end_ns), 'false_alarm') AS type FROM al a),
+      hy AS (SELECT unnest({list(evaluate.FAULT_OF.values())}) AS fault, unnest(range({len(evaluate.FAULT_OF)})) AS k)
+      SELECT avg(CAST(coalesce(fault = type, false) AS DOUBLE)) AS accuracy, avg(c % 4 / 4e0) AS mean_judge, count(*) AS n FROM ca LEFT JOIN hy ON k = c % {len(HYPOTHESES)}""",
 }

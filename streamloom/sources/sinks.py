@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def _now():
     """The time of the query, in UTC whatever the session's time zone."""
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def label_lines(labels: DataFrame) -> DataFrame:

@@ -7,14 +7,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from streamloom.functions.detectors import GAMMA, MIX1, MIX2
+
 DRAWS = 12  # a sum of 12 uniform draws has variance 1
 
 
 def unit_draws(seed: int, places: np.ndarray) -> np.ndarray:
     """The draws at the given places (from 0) of a seed's sequence, in [0, 1) by their top 53 bits."""
     with np.errstate(over="ignore"):
-        z = np.uint64(seed) + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = np.uint64(seed) + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(GAMMA)
+        for shift, factor in ((30, MIX1), (27, MIX2)):
             z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
@@ -47,3 +49,12 @@ def near_gaussian(spark: SparkSession, n: int, seed: int, stream_id: int = 1, st
 
 def constant(spark: SparkSession, n: int, base: float = 50.0, stream_id: int = 1, step_ns: int = 1_000_000_000) -> DataFrame:
     return _stream(spark, n, F.lit(float(base)), stream_id, step_ns)
+
+
+def shifted(spark: SparkSession, n: int, seed: int, onset: int, step: float = 0.0, slope: float = 0.0, skip: int = 0, stream_id: int = 1, step_ns: int = 1_000_000) -> DataFrame:
+    """Messages of numpy's standard normal draws after `skip` others, raised by step from onset on and by slope more with each value
+    after it. The draws depend on each other, so they are made on the driver: n is the size of a test stream."""
+    values = np.random.default_rng(seed).normal(0, 1, skip + n)[skip:]
+    values[onset:] += step + slope * np.arange(max(n - onset, 0))
+    rows = [(i, stream_id, i * step_ns, float(x), i) for i, x in enumerate(values)]
+    return spark.createDataFrame(rows, "pos long, stream_id long, ts_ns long, value double, seq long")

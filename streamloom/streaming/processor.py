@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from streamloom.operators.fold import FOLDED, Profile, new_state, run_detectors
+from streamloom.operators.fold import COLUMNS, FOLDED, MESSAGE, Profile, new_state, run_detectors
 
 
 class Detectors(StatefulProcessor):
@@ -26,9 +26,9 @@ class Detectors(StatefulProcessor):
 
         frame = pd.concat(list(rows)).sort_values("pos", kind="stable", ignore_index=True)
         machines = pickle.loads(self.state.get()[0]) if self.state.exists() else new_state(self.profile)
-        out = frame.join(run_detectors(frame["value"].tolist(), self.profile, machines))
+        added = run_detectors(frame["value"].tolist(), self.profile, machines)
         self.state.update((pickle.dumps(machines),))
-        yield out[[c.split()[0] for c in FOLDED.split(", ")]]
+        yield frame[[c.split()[0] for c in MESSAGE.split(", ")]].assign(**dict(zip([c.split()[0] for c in COLUMNS.split(", ")], added, strict=True)))
 
     def close(self) -> None:
         pass
