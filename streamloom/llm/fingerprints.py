@@ -5,7 +5,8 @@ neighbouring windows the leftmost of the best rank gains a point, and windows wi
 hashes go, in order, into chained Bloom filters of 2048 bits (5 bits a feature, at most 160 features each). Two digests
 compare by the overlap of their filters' bits, less what chance gives, normalised to 0..1.
 
-A text under 127 bytes has no such run: there every 8-byte window is a feature, with 7 zero bytes before and after the text.
+A text under 127 bytes has no such run, and one under 384 bytes so few that an edit leaves hardly a feature in common: there every
+8-byte window is a feature, with 7 zero bytes before and after the text.
 """
 
 from __future__ import annotations
@@ -16,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import id_and_text, in_batches, read
+from streamloom.llm.common import id_and_text, in_batches, read, sliced
 
 WINDOW = 64
 POINTS = 16
 SHORT_WINDOW = 8
-#: Texts of fewer bytes have no run of windows; with one of these, texts up to COMPARED bytes compare by short windows too.
-SHORT, COMPARED = 2 * WINDOW - 1, 10 * WINDOW
+#: Texts of fewer bytes have too few runs of windows; with one of these, texts up to COMPARED bytes compare by short windows too.
+SHORT, COMPARED = 6 * WINDOW, 12 * WINDOW
 LEVELS = 1001
 UNRANKED = 1023
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
@@ -166,10 +167,12 @@ def features(blobs: list[bytes], rank_of: np.ndarray) -> tuple[np.ndarray, np.nd
                 hashes.append(_hashes(part, places))
         at = end
     owner, h = np.concatenate(owners or [np.zeros(0, np.int64)]), np.concatenate(hashes or [np.zeros(0, np.uint64)])
+    short = np.fromiter((len(b) < SHORT for b in blobs), bool, len(blobs))
+    owner, h = owner[~short[owner]], h[~short[owner]]
     bare = [i for i in np.flatnonzero(np.bincount(owner, minlength=len(blobs)) == 0).tolist() if blobs[i]]
     if bare:
         whole = lambda blob: np.array([int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little")], np.uint64)
-        own = [_short_hashes(blobs[i]) if len(blobs[i]) < SHORT else whole(blobs[i]) for i in bare]
+        own = [_short_hashes(blobs[i]) if short[i] else whole(blobs[i]) for i in bare]
         owner, h = np.append(owner, np.repeat(bare, [len(x) for x in own])), np.concatenate([h, *own])
         order = np.argsort(owner, kind="stable")
         owner, h = owner[order], h[order]
@@ -264,7 +267,8 @@ def corpus_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(LEVELS, np.int64)
         for batch in batches:
-            total += window_levels([(t or "").encode() for t in batch.column(0).to_pylist()])
+            for part in sliced(batch, 8_000_000):
+                total += window_levels([(t or "").encode() for t in part.column(0).to_pylist()])
         level = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(total[level])], names=["level", "n"])
 
@@ -281,9 +285,19 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
-def with_next(rows: DataFrame, rows_per_bucket: int = 1500, most_buckets: int = 4096) -> DataFrame:
-    """Deal (doc_id, text) out by ranges of ids, in order, with the first row of each range once more behind the range before
-    it (bucket, tail, doc_id, text). Texts move once. Only the ranges' ends, most_buckets at most, reach the driver."""
+def _keys_of_partitions(spark: SparkSession, n: int) -> np.ndarray:
+    """For each of n partitions an integer that Spark's hash partitioning sends there."""
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("place")
+    found = spark.range(40 * n).groupBy(place).agg(F.min("id").alias("id")).collect()  # n rows
+    keys = np.arange(n)
+    for r in found:
+        keys[r.place] = r.id
+    return keys
+
+
+def with_next(rows: DataFrame, rows_per_bucket: int = 6000, most_buckets: int = 1 << 16) -> DataFrame:
+    """Deal (doc_id, text) out by ranges of ids, in order, a partition each, with the first row of each range once more behind the
+    range before it (bucket, tail, doc_id, text). Texts move once. Only the ranges' ends, most_buckets at most, reach the driver."""
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     n = rows.count()
     buckets = max(1, min(most_buckets, -(-n // rows_per_bucket)))
@@ -305,10 +319,18 @@ def with_next(rows: DataFrame, rows_per_bucket: int = 1500, most_buckets: int =
 
         return k.map(before).fillna(-1).astype(np.int32) if before else pd.Series(np.full(len(k), -1, np.int32))
 
+    own_key = _keys_of_partitions(rows.sparkSession, len(cuts) + 1)
+
+    @F.pandas_udf("int")
+    def dealt_to(bucket):
+        import pandas as pd
+
+        return pd.Series(own_key[bucket.to_numpy()].astype(np.int32))
+
     keyed = rows.withColumn("k", key).withColumn("own", bucket_of("k")).withColumn("tail_bucket", tail_of("k"))
     both = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("tail")), F.struct(F.col("tail_bucket").alias("bucket"), F.lit(1).alias("tail")))
     dealt = keyed.select("doc_id", "text", "k", F.explode(F.filter(both, lambda b: b["bucket"] >= 0)).alias("b")).select("b.bucket", "b.tail", "doc_id", "k", "text")
-    return dealt.repartition(max(buckets // 4, 1), "bucket").sortWithinPartitions("bucket", "tail", "k", "text").drop("k")
+    return dealt.withColumn("deal", dealt_to("bucket")).repartition(len(cuts) + 1, "deal").sortWithinPartitions("bucket", "tail", "k", "text").drop("k", "deal")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
