@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import fold_of, hash_sample, id_and_text, in_batches, per_batch, read
+from streamloom.llm.common import fold_of, hash_sample, id_and_text, in_batches, per_batch, read, sliced
 
 TRAIN_ROWS = 20_000
 FOLDS = 5
@@ -123,10 +123,12 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
-    """Fit on labelled rows outside the held-out fold, at most train_rows of them. Rows without a label or id don't count."""
+    """Fit on labelled rows outside the held-out fold, at most train_rows of them. Rows without a label or id don't count; of documents
+    that repeat a labelled id, the first by text counts for each label."""
     mine = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("doc_id IS NOT NULL AND y IS NOT NULL").filter(fold_of(F.col("doc_id"), FOLDS) != 0)
     mine = hash_sample(mine, mine.count(), train_rows, "doc_id", "y")  # train_rows of 16 bytes: safe to broadcast
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(mine), "doc_id").select(F.col("y"), "text")
+    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(mine.distinct()), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", "text")
     found = per_batch(rows, lambda texts: {"x": [statistics(t) for t in texts]}, "y double, x array<double>", columns=("y", "text"), keep=("y",)).collect()
     found.sort(key=lambda r: (r.y, r.x))  # arrival order doesn't matter
     x = np.array([r.x for r in found]).reshape(len(found), len(STATISTICS))
@@ -151,9 +153,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            p = forest.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS)))
-            yield batch.filter(pa.array(p >= THRESHOLD))
+            for part in sliced(batch, 8_000_000):
+                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                p = forest.score(np.array([statistics(t) for t in texts]).reshape(len(texts), len(STATISTICS)))
+                yield part.filter(pa.array(p >= THRESHOLD))
 
     return in_batches(docs).mapInArrow(run, docs.schema)
 
