@@ -35,7 +35,7 @@ from streamloom.llm.common import HOT, LEAST_HOT, hot_keys, id_and_text, in_batc
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 22
-BLOCKS = 64
+BLOCK_BITS = 6
 FILTER_WORDS = 1 << 17
 CACHED = 20_000
 FINE = 32
@@ -97,8 +97,9 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
     deviation that chance gives up to FINE, by its logarithm above. A set's prefix is from its emptiest slots, and a shingle
     has no more documents than its slot counts.
 
-    Every partition counts into SLOTS counters; partial counters are added up block by block. The order of shingles only
-    affects speed: any order gives the same result."""
+    Every partition counts into SLOTS counters; partial counters are added up block by block, in as many blocks as keep what one task
+    adds up the same whatever the number of partitions. The order of shingles only affects speed: any order gives the same result."""
+    n_blocks = 1 << max(BLOCK_BITS, min(16, (rows.rdd.getNumPartitions() // 8).bit_length()))
 
     def count(batches):
         total = np.zeros(SLOTS, np.uint32)
@@ -107,8 +108,8 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
                 found = np.concatenate(shingle_sets(part.column("text").to_pylist()))
                 slots, n = np.unique(found & np.uint64(SLOTS - 1), return_counts=True)
                 total[slots.astype(np.int64)] += n.astype(np.uint32)
-        blocks = [b.astype("<u4").tobytes() for b in np.split(total, BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+        blocks = [b.astype("<u4").tobytes() for b in np.split(total, n_blocks)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(n_blocks), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -119,8 +120,8 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    found = rows.select("text").mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema)
-    total = np.zeros((BLOCKS, SLOTS // BLOCKS), np.uint32)
+    found = rows.select("text").mapInArrow(count, schema).repartition(n_blocks, "block").mapInArrow(add, schema)
+    total = np.zeros((n_blocks, SLOTS // n_blocks), np.uint32)
     for r in found.toLocalIterator():
         total[r.block] = np.frombuffer(r.counts, np.int64)
     load = total.mean()
