@@ -259,7 +259,7 @@ def _base_columns() -> list[Column]:
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = find(read(spark, sf_dir, "documents"))
-    return found.select(*_base_columns(), _written(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select(*_base_columns(), _written(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"))
 
 
 def base_query(spark, sf_dir: str) -> DataFrame:
