@@ -10,6 +10,11 @@ Two deterministic machines are compiled from the tokenizer file.
   gives for the bytes read so far. A state is the longest suffix of the input that can still grow into a vocabulary entry,
   with, for each place inside it, the last token of the encoding that ends there and its count relative to now. States are
   determinised as they are met, and shared by all texts that a worker reads.
+
+What composes in the scan are the state maps of the splitter. Pre-tokens are independent of each other, so the merge transducer runs once
+for each distinct one, emits its count, and the counts of all pre-tokens of a text are added up; a map of the transducer over a
+chunk for all of its thousands of states would cost more than that sum. Memory is bounded: pre-tokens of over LONGEST characters
+aren't remembered, and the transducer forgets its states, but for the one it is in, when it has too many.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from streamloom.llm.common import id_and_text, per_batch, read, safe_pieces
 SLICE_CHARS = 1_000_000
 CHUNK = 128
 CACHED = 400_000
+LONGEST, BLOCK = 64, 1 << 16
 
 # Symbols of the splitter.
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, SPACE_LAST, GAP_LAST, GAP, CUT = range(9)
@@ -224,14 +230,25 @@ class MergeTransducer:
 
     def run(self, data: bytes) -> int:
         state = count = 0
-        get, compile_ = self.steps.get, self._compile
-        for byte in data:
-            state, emitted = get(state << 8 | byte) or compile_(state, byte)
-            count += emitted
-        if len(self.steps) > 2 * CACHED:
-            self._reset()
+        for at in range(0, len(data), BLOCK):
+            get, compile_ = self.steps.get, self._compile
+            for byte in data[at : at + BLOCK]:
+                state, emitted = get(state << 8 | byte) or compile_(state, byte)
+                count += emitted
+            if len(self.steps) > 2 * CACHED or len(self.fits) > 8 * CACHED:
+                state = self._forget(state)
         return count
 
+    def _forget(self, state: int) -> int:
+        """Forget all states but this one, which gets a new number."""
+        key = self.states[state]
+        self._reset()
+        self.fits.clear()
+        if key not in self.ids:
+            self.ids[key] = len(self.states)
+            self.states.append(key)
+        return self.ids[key]
+
 
 class _Counts(dict):
     """Counts of the pre-tokens met so far; a memo, emptied when full."""
@@ -240,9 +257,11 @@ class _Counts(dict):
         self.machine = machine
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= CACHED:
-            self.clear()
-        n = self[piece] = self.machine.run(piece.encode())
+        n = self.machine.run(piece.encode())
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = n
         return n
 
 
