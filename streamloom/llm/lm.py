@@ -372,10 +372,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     Learns from the rows whose crc32(id as text) mod folds isn't 0. An empty or null text is just its end. Without training
     texts all counts are 0. Rows that repeat an id and text get the same scores.
     """
-    rows = in_batches(id_and_text(docs, id_col, text_col)).withColumn("taught", fold_of(F.col("doc_id"), folds) != 0)
-    counts = settle(word_counts(rows.filter("taught")), "lm-counts")
-    vocab = vocabulary(counts, docs.filter(fold_of(F.col(id_col), folds) != 0).count())
-    texts = settle(coded(rows, vocab), "lm-coded")
+    texts, counts, vocab = _read(docs, id_col, text_col, folds)
     model = fitted(texts.filter("taught"), vocab)
 
     def likelihood(batches):
@@ -388,6 +385,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     kept = ["doc_id", "crc", "n_tokens", "n_known", "base"]
     own = texts.select(*kept, "inside", "classes").mapInArrow(likelihood, "doc_id long, crc long, n_tokens long, n_known long, base double, likely double")
+    return _with_rare(own, texts, counts, vocab, folds)
+
+
+def base_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
+    """score() without its last column, for which nothing is trained."""
+    texts, counts, vocab = _read(docs, id_col, text_col, folds)
+    own = texts.select("doc_id", "crc", "n_tokens", "n_known", "base", F.lit(0.0).alias("likely"))
+    return _with_rare(own, texts, counts, vocab, folds).drop("score")
+
+
+def _read(docs: DataFrame, id_col: str, text_col: str, folds: int) -> tuple[DataFrame, DataFrame, Vocabulary]:
+    """The coded texts, the word counts of those that are learnt from, and what follows from these."""
+    rows = in_batches(id_and_text(docs, id_col, text_col)).withColumn("taught", fold_of(F.col("doc_id"), folds) != 0)
+    counts = settle(word_counts(rows.filter("taught")), "lm-counts")
+    vocab = vocabulary(counts, docs.filter(fold_of(F.col(id_col), folds) != 0).count())
+    return settle(coded(rows, vocab), "lm-coded"), counts, vocab
+
+
+def _with_rare(own: DataFrame, texts: DataFrame, counts: DataFrame, vocab: Vocabulary, folds: int) -> DataFrame:
+    """The scores of own with what each text owes to its rare words, by their counts."""
     rare = texts.select("doc_id", "crc", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", "crc", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
     light = counts.filter(F.col("c") < vocab.least).select("word", "c")
     c = F.coalesce("c", F.lit(0))
@@ -404,3 +421,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
 def query(spark, sf_dir: str) -> DataFrame:
     return score(read(spark, sf_dir, "documents"))
+
+
+def base_query(spark, sf_dir: str) -> DataFrame:
+    """The base columns of query(), which SQL can express; the score in thousandths, rounded down."""
+    found = base_scores(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.floor(F.col("base_score") * 1000).cast("long").alias("base_milli"))
+
+
+_SQL_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, {_SQL_CRC} % 10 = 0 AS held_out,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), t AS (SELECT doc_id, held_out, unnest(w) AS word FROM d UNION ALL SELECT doc_id, held_out, NULL FROM d),
+c AS (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY word),
+n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens,
+  CAST(floor(sum(log10((coalesce(c, 0) + 1e-1) / (n + 1e-1 * (v + 1)))) * 1000) AS BIGINT) AS base_milli
+FROM t LEFT JOIN c ON t.word IS NOT DISTINCT FROM c.word CROSS JOIN n GROUP BY doc_id, held_out
+"""
