@@ -160,7 +160,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Rows of one id, source and text pair up in order: the plan's by place, the documents' by their other columns.
     plan = plan.join(names, "nth").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "nth", "key").orderBy("first")))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_whole"), *key)
-    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy("_id", *total_order(docs.select([c for c in docs.columns if c not in (id_col, source_col, text_col)]), "_row"))))
+    rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy("_id", *total_order(docs.select([F.col(f"`{c}`") for c in docs.columns if c not in (id_col, source_col, text_col)]), "_row"))))
     plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("key").alias("p_key"), F.col("_copy").alias("p_copy"), "size", "each", "more")
     met = rows.join(plan, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_key") == F.col("p_key")) & (F.col("_copy") == F.col("p_copy")))
     more = F.col("more")
@@ -174,3 +174,26 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def targets_query(spark, sf_dir: str) -> DataFrame:
+    """What every source has and should give, which SQL can express."""
+    docs = read(spark, sf_dir, "documents")
+    totals = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(words_in(F.col("text"))).alias("source_size"))
+    return targets(totals).select("source", "source_size", "weight", F.floor(F.col("target") * 1000 + 0.5).cast("long").alias("target_milli"))
+
+
+TARGETS_SQL = """
+WITH RECURSIVE s AS (
+  SELECT source, CAST(sum(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)) AS BIGINT) AS size FROM documents GROUP BY source
+), w AS (
+  SELECT *, [5e0, 2e0, 1e0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(size) OVER () AS whole FROM s
+), f AS (
+  SELECT 0 AS round, source, size, weight, false AS capped, whole * weight / sum(weight) OVER () AS target FROM w
+  UNION ALL
+  SELECT round + 1, source, size, weight, over, CASE WHEN over THEN 3e0 * size
+    ELSE ((SELECT any_value(whole) FROM w) - coalesce(sum(3e0 * size) FILTER (WHERE over) OVER (), 0)) * weight / sum(weight) FILTER (WHERE NOT over) OVER () END
+  FROM (SELECT *, capped OR target > 3e0 * size AS over, bool_or(NOT capped AND target > 3e0 * size) OVER () AS more FROM f) WHERE more
+)
+SELECT source, size AS source_size, weight, CAST(floor(target * 1000 + 5e-1) AS BIGINT) AS target_milli FROM f WHERE round = (SELECT max(round) FROM f)
+"""
