@@ -40,10 +40,13 @@ def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     group sends a row per partition. Of rows that share the staying id, the other columns decide, and the text before lower-casing.
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.withColumn("_norm", norm).withColumn("_hash", F.unhex(F.md5(F.col("_norm").cast("binary"))))
-    by_id = {"min": F.col(id_col).asc_nulls_last, "max": F.col(id_col).desc_nulls_last}[keep]()
-    same = Window.partitionBy("_hash", "_norm").orderBy(by_id, *total_order(docs))
-    return own.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), norm.alias("norm"))
+    own = own.withColumn("h", F.unhex(F.md5(F.col("norm").cast("binary"))))
+    key = F.col("row").getField(id_col)
+    by_id = {"min": key.asc_nulls_last, "max": key.desc_nulls_last}[keep]()
+    same = Window.partitionBy("h", "norm").orderBy(by_id, *total_order(docs, "row"))
+    kept = own.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 22
 BLOCK_BITS = 6
-FILTER_WORDS = 1 << 17
+FILTER_WORDS = 1 << 21
 CACHED = 20_000
 FINE = 32
 #: Sketch level from which a list counts as long: 2^8 deviations above what chance gives.
@@ -175,25 +175,31 @@ def _may_link(shared: Column, a: Column, b: Column) -> Column:
     return shared + rest >= F.ceil((a + b) * (PERCENT / (100.0 + PERCENT)) - 1e-6)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A fixed-size Bloom filter (1 MB) of ids, built in the cluster: it only spares work, never decides."""
-    bit = F.explode(F.array(F.pmod(F.xxhash64("id"), F.lit(FILTER_WORDS * 64)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(FILTER_WORDS * 64))))
+def _filter_of(ids: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of n ids, built in the cluster, of 16 bits an id as far as FILTER_WORDS words (16 MB) allow: it only spares work,
+    never decides."""
+    n_words = min(FILTER_WORDS, 1 << max(10, (n // 4).bit_length()))
+    bit = F.explode(F.array(*_bits_of(n_words)))
     words = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for r in words.collect():
+    out = np.zeros(n_words, np.int64)
+    for r in words.toLocalIterator():
         out[r.word] = r.bits
     return out
 
 
+def _bits_of(n_words: int) -> list[Column]:
+    return [F.pmod(F.xxhash64("id", *x), F.lit(n_words * 64)) for x in ((), (F.lit(1),))]
+
+
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that link. Sets are made again from the texts of the classes' first documents."""
     pairs = settle(pairs.select("a", "b").distinct(), "ngram-pairs")
     if pairs.isEmpty():
         return pairs
     wanted = settle(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("cid", "class", "top.id"), "ngram-wanted")
-    may = _filter_of(wanted.select("id"))
-    bit = lambda *x: F.pmod(F.xxhash64("id", *x), F.lit(FILTER_WORDS * 64))
-    marked = rows.select("text", bit().alias("b1"), bit(F.lit(1)).alias("b2"))
+    may = _filter_of(wanted.select("id"), wanted.count())
+    b1, b2 = _bits_of(len(may))
+    marked = rows.select("text", b1.alias("b1"), b2.alias("b2"))
 
     def make(batches):
         for batch in batches:
@@ -345,12 +351,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = _of_classes(signed.select("id", "key", "n", "class"), placed)
     gone = members.filter("id <> best.id OR key <> best.key").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
     again = settle(signed.filter("n > 0").groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).count().filter("count > 1"), "ngram-again")
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col), F.lit(NO_ID))).withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keyed = docs.select(row, F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"))
     kept = keyed.join(gone, ["_id", "_key"], "left_anti")
     if not again.isEmpty():
-        one = kept.join(again, ["_id", "_key"], "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(*total_order(docs)))).filter("_nth = 1")
+        same = Window.partitionBy("_id", "_key").orderBy("_id", *total_order(docs, "_row"))
+        one = kept.join(again, ["_id", "_key"], "left_semi").withColumn("_nth", F.row_number().over(same)).filter("_nth = 1")
         kept = kept.join(again, ["_id", "_key"], "left_anti").unionByName(one.drop("_nth"))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
