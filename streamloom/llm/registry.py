@@ -16,10 +16,14 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_byte_bpe": byte_bpe.query,
     "pii_base_spans": pii.base_query,
+    "mixing_targets": mixing.targets_query,
+    "lm_base_scores": lm.base_query,
 }
 SQL = {
     "op6_ngram_jaccard_join": ngram_join.SQL,
     "op7_chat_formatting": chat.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "pii_base_spans": pii.SQL,
+    "mixing_targets": mixing.TARGETS_SQL,
+    "lm_base_scores": lm.SQL,
 }

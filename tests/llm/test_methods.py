@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from streamloom.llm import chat, common, fingerprints, mixing, ngram_join, pii, quality
+from streamloom.llm import chat, common, fingerprints, mixing, ngram_join, pii, quality, token_count
 
 BASE = {  # the plain patterns
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -353,3 +353,46 @@ def test_blocks_that_are_taken(spark):
     assert all(abs(by_source[r.nth] - r.target) <= 2 * mixing.BLOCK for r in found)
     again = mixing.mix(docs.repartition(7)).collect()
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in found}  # reruns agree
+
+
+def test_token_counts_with_little_memory(monkeypatch):
+    """The transducer forgets its states within long pre-tokens, and counts as before."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop"), 30_000)), "the cat " * 500, "x" * 5000, "".join(rng.choice(list("!?#$%"), 9000))]
+    want = token_count.count_tokens(texts, path)
+    memo, _ = token_count.compiled(path)
+    monkeypatch.setattr(token_count, "CACHED", 50)
+    monkeypatch.setattr(token_count, "BLOCK", 97)
+    memo.clear()
+    assert token_count.count_tokens(texts, path) == want and len(memo) <= 50 and max(map(len, memo)) <= token_count.LONGEST
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+
+    folder = common.shared_folder(spark)
+    before = set(os.listdir(folder))
+    with common.scratch(spark) as made:
+        a = common.settle(spark.range(3), "scratch-a")
+        b = common.settle(a.filter("id > 0"), "scratch-b")
+        made.pop()
+    assert {x.split("-")[1] for x in set(os.listdir(folder)) - before} == {"b"} and b.count() == 2
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        common.settle(spark.range(3), "scratch-c")
+        1 / 0  # noqa: B018
+    assert {x.split("-")[1] for x in set(os.listdir(folder)) - before} == {"b"}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from streamloom.llm import exact_dedup
+
+    names = ["_hash", "_norm", "_nth", "_id", "_key", "_row", "h", "row", "norm", "nth", "_salt", "best", "class", "a b", "x.y"]
+    rows = [(i, "word " * 6 + str(i // 2), "s", 1, *(f"{n}{i}" for n in names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "source string", "n_chars long", *(f"`{n}` string" for n in names)]))
+    for stage in (exact_dedup.drop_copies, ngram_join.drop_near_copies):
+        assert sorted(map(tuple, stage(docs).collect())) == [rows[0], rows[2]]
+    for r in mixing.mixed_documents(docs).collect():
+        assert tuple(r)[4:] == rows[r.doc_id][4:]
