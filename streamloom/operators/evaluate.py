@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.operators.order import numbered, settle
+from streamloom.operators.order import broadcast_if_small, numbered, settle
 
 
 def match_labels(alerts: DataFrame, labels: DataFrame) -> DataFrame:
     """Add label: the type of the label of the stream whose closed interval holds the alert, the earliest start first, then
-    the first in the list; false_alarm if none."""
-    a, b = alerts.alias("a"), labels.alias("b")
-    met = a.join(b, (F.col("a.stream_id") == F.col("b.stream_id")) & F.col("a.ts_ns").between(F.col("b.t_start_ns"), F.col("b.t_end_ns")))
-    best = met.groupBy("a.id").agg(F.min(F.struct("b.t_start_ns", "b.label_idx", "b.type")).alias("x")).select("id", F.col("x.type").alias("label"))
-    return alerts.join(best, "id", "left").withColumn("label", F.coalesce("label", F.lit("false_alarm")))
+    the first in the list; false_alarm if none. Alerts differ by id."""
+    a, b = alerts.alias("a"), broadcast_if_small(labels).alias("b")
+    met = a.join(b, (F.col("a.stream_id") == F.col("b.stream_id")) & F.col("a.ts_ns").between(F.col("b.t_start_ns"), F.col("b.t_end_ns")), "left")
+    first = F.min(F.when(F.col("b.type").isNotNull(), F.struct("b.t_start_ns", "b.label_idx", "b.type")))
+    best = met.groupBy(*(F.col(f"a.{c}") for c in alerts.columns)).agg(first.alias("_first"))
+    return best.select(*alerts.columns, F.coalesce("_first.type", F.lit("false_alarm")).alias("label"))
 
 
 def detection_score(fires: DataFrame, onset: int) -> DataFrame:

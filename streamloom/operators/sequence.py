@@ -19,8 +19,8 @@ def sequence_gaps(messages: DataFrame, keys: tuple[str, ...] = ("stream_id",)) -
     return found.select("stream_id", F.col("last").alias("from_seq"), F.col("seq").alias("to_seq"), "pos")
 
 
-def time_gaps(messages: DataFrame, most_ns: int = 1_000_000_000) -> DataFrame:
-    found = accept(messages, "ts_ns").filter(F.col("accepted") & (F.col("ts_ns") - F.col("last") > most_ns))
+def time_gaps(messages: DataFrame, most_ns: int = 1_000_000_000, levels: int = 1) -> DataFrame:
+    found = accept(messages, "ts_ns", levels=levels).filter(F.col("accepted") & (F.col("ts_ns") - F.col("last") > most_ns))
     return found.select("stream_id", F.col("last").alias("from_ts"), F.col("ts_ns").alias("to_ts"), "pos")
 
 

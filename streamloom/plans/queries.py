@@ -254,6 +254,12 @@ v AS (SELECT pos, arg_max(CASE type WHEN 'spike' THEN value + mag WHEN 'drift' T
 x AS (SELECT m.pos, stream_id, ts_ns, coalesce(nv, value) AS value, seq FROM m LEFT JOIN v ON m.pos = v.pos WHERE gone IS NULL OR NOT gone),
 la AS (SELECT i AS label_idx, CAST(sid AS BIGINT) AS stream_id, type, a.ts_ns AS t_start_ns, b.ts_ns AS t_end_ns FROM sp JOIN j a ON a.stream_id = sid AND a.j = onset JOIN j b ON b.stream_id = sid AND b.j = least(onset + dur - 1, b.n - 1))"""
 
+def _little_endian(number: str, n: int) -> str:
+    return f"list_transform(range({n}), lambda k: (CAST({number} AS UBIGINT) >> CAST(8 * k AS UBIGINT)) & 255)"
+
+
+_BYTES = f"flatten([{_little_endian('stream_id', 4)}, {_little_endian('ts_ns', 8)}, {_little_endian('CAST(value AS BIT)', 8)}, {_little_endian('seq', 8)}])"
+
 _FEED = f"""{_REPEATED}, ep AS (SELECT *, sum(CASE WHEN pos % 997 = 996 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS epoch FROM rp WHERE seq >= 0),
 fa AS (SELECT *, pos % 19 <> 0 AS tick FROM (SELECT *, max(seq) OVER (PARTITION BY epoch, stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last
   FROM ep WHERE pos % 997 <> 996 AND pos % 23 <> 9 AND stream_id < 5) WHERE last IS NULL OR seq > last),
@@ -303,6 +309,9 @@ SQL = {
     "json_polls": f"WITH {_M} SELECT 7::BIGINT AS stream_id, ts_ns, value, row_number() OVER (ORDER BY pos) AS seq FROM m",
     "json_tickers": f"""WITH {_M} SELECT pos, CASE WHEN stream_id = 5 THEN 'skipped' WHEN pos % 7 = 0 THEN 'heartbeat' ELSE 'ok' END AS parse_result, CASE WHEN stream_id < 5 THEN stream_id END AS stream_id,
       CASE WHEN stream_id < 5 AND pos % 7 <> 0 THEN ts_ns END AS ts_ns, CASE WHEN stream_id < 5 AND pos % 7 <> 0 THEN value END AS value, CASE WHEN stream_id < 5 THEN seq END AS seq FROM m""",
+    "checksum_per_stream": f"""WITH {_M}, b AS (SELECT stream_id, flatten(list({_BYTES} ORDER BY pos)) AS b FROM m GROUP BY stream_id)
+      SELECT stream_id, lpad(lower(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, CAST(b AS UHUGEINT[])),
+        lambda h, x: xor(h, x) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS UBIGINT))), 16, '0') AS digest FROM b""",
     "reset_accept": f"""WITH {_REPEATED}, ep AS (SELECT *, CAST(sum(CASE WHEN pos % 997 = 996 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS BIGINT) AS epoch FROM rp)
       SELECT pos, stream_id, epoch, last, coalesce(seq > last, true) AS accepted FROM (
         SELECT *, max(seq) OVER (PARTITION BY epoch, stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM ep WHERE pos % 997 <> 996)""",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from streamloom.operators.order import settle
+
 
 def _now():
     """The time of the query, in UTC whatever the session's time zone."""
@@ -32,3 +34,15 @@ def append_alerts(alerts: DataFrame, folder: str, checkpoint: str, once: bool =
     made = alerts.withColumn("created_at", _now())
     to = made.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append")
     return (to.trigger(availableNow=True) if once else to).start()
+
+
+def insert_alerts(alerts: DataFrame, folder: str) -> int:
+    """Add alerts to a Parquet table of them, their ids going on from the largest that it has; the largest id afterwards. One writer at
+    a time."""
+    spark = alerts.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    top = (spark.read.parquet(folder).agg(F.max("id")).first()[0] or 0) if known else 0
+    added = settle(alerts.withColumn("id", F.col("id") + F.lit(top)).withColumn("created_at", _now()))
+    added.write.mode("append").parquet(folder)
+    return added.agg(F.max("id")).first()[0] or top

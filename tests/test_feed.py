@@ -252,3 +252,44 @@ def test_shifted_streams(spark):
     drift[400:] += 0.05 * np.arange(600)
     assert [r.value for r in synthetic.shifted(spark, 1000, 12345, 400, step=3.0).orderBy("pos").collect()] == step.tolist()
     assert [r.value for r in synthetic.shifted(spark, 1000, 12345, 400, slope=0.05, skip=1000).orderBy("pos").collect()] == drift.tolist()
+
+
+def test_adapters(spark, log):
+    from streamloom.sources.adapters import Aircraft, Grid, Ticker
+
+    raw = spark.createDataFrame(log, "pos long, raw string, is_reset boolean")
+    ticker = Ticker(spark.createDataFrame([("P1", 1), ("P2", 2)], "product_id string, stream_id long"))
+    polls = [[0, 1, 2], [1, 2, 3], [3], [9, "x", 10]]
+    poll = lambda ts: json.dumps({"data": [{"ts": f"2026-01-01T00:00:{t:02}Z", "value": 50 + t} if isinstance(t, int) else {"ts": "?", "value": 1} for t in ts]})
+    grid = spark.createDataFrame([(i, poll(ts)) for i, ts in enumerate(polls)], "pos long, raw string")
+    snaps = spark.createDataFrame([(0, json.dumps({"now": 1000, "ac": [{"hex": "a", "lat": 1, "lon": 1, "seen": 0, "gs": 400}]}))], "pos long, raw string")
+    for adapter, frames_ in ((ticker, raw), (Grid(7), grid), (Aircraft(100, 5, "gs"), snaps)):
+        assert adapter.messages(frames_).columns == ["pos", "stream_id", "ts_ns", "value", "seq"] and adapter.messages(frames_).count() > 0
+    assert ticker.gaps(raw).count() > 0 and Aircraft(100, 5).gaps(snaps).count() == 0
+    assert [(r.value, r.seq) for r in Grid(7).messages(grid).orderBy("seq").collect()] == [(50.0, 1), (51.0, 2), (52.0, 3), (53.0, 4), (59.0, 5), (60.0, 6)]
+    assert [(r.to_ts - r.from_ts) // 10**9 for r in Grid(7).gaps(grid).collect()] == [6]
+
+
+def test_alert_table(spark, tmp_path):
+    from streamloom.sources import sinks
+
+    a = spark.createDataFrame([(i, 1, i, "rules", "x") for i in (1, 2, 3)], "id long, stream_id long, ts_ns long, layer string, detail string")
+    path = str(tmp_path / "alerts")
+    assert [sinks.insert_alerts(x, path) for x in (a, a, a.limit(0), a)] == [3, 6, 6, 9]
+    rows = spark.read.parquet(path).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(1, 10)) and all(len(r.created_at) == 24 and r.created_at[-5] == "." for r in rows)
+
+
+def test_service_writes_counters_and_stops(spark, tmp_path):
+    import threading
+
+    from streamloom.streaming.service import serve
+
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    stop = threading.Event()
+    threading.Timer(1.0, stop.set).start()
+    last = serve(q, str(tmp_path / "stats.json"), lambda: {"alerts": 2}, 0.2, stop)
+    assert not q.isActive and (last["messages_received"], last["alerts"]) == (5, 2)
+    assert health.read_stats(str(tmp_path / "stats.json"))["messages_received"] == 5
