@@ -2,6 +2,7 @@
 
 Built-in functions only. The bytes take part in the grouping key itself: rows are pre-aggregated by (hash, text) before the
 shuffle, so a group of copies, however large, sends one row per input partition, and two texts that share a hash stay apart.
+Rows then meet their group by its two digests; those of the largest groups are dealt out to many tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import ascii_lower, id_and_text, read, total_order
+from streamloom.llm.common import ascii_lower, hot_keys, id_and_text, read, settle, spread_join, total_order
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -21,16 +22,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     pick = {"min": F.min, "max": F.max}[keep]
     rows = id_and_text(docs, id_col, text_col).select("doc_id", ascii_lower(F.col("text")).alias("norm")).select("doc_id", "norm", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"))
-    groups = (
-        rows.groupBy("h", "norm")
-        .agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    members = rows.select("doc_id", "h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    same = Window.partitionBy("doc_id", "h").orderBy("text_sha256")
-    members = members.withColumn("nth", F.row_number().over(same))
+    key = F.concat("h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256))).alias("key")
+    groups = settle(rows.groupBy("h", "norm").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select(key, "keep_id", "group_size"), "dedup-groups")
+    members = rows.select("doc_id", key).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key")))
+    joined = spread_join(members, groups, "key", "doc_id", hot_keys(groups, "key", "group_size"))
     kept = F.coalesce((F.col("doc_id") == F.col("keep_id")) & (F.col("nth") == 1), F.lit(False))
-    return members.join(groups, ["h", "text_sha256"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex(F.substring("key", 17, 32))).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
