@@ -318,9 +318,12 @@ def _placed(rows: DataFrame, nulls_last: bool) -> tuple[DataFrame, DataFrame]:
     apart = settle(parts.join(apart, "grp"), "ngram-apart")
     if not (split.isEmpty() and apart.isEmpty()):
         # lists of more than one component, and the component that most of their entries are in
-        main = split.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"))
-        main = main.filter("comps > 1").select("token", F.col("x.comp").alias("main"))
+        main = split.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("count"), F.min("n").alias("n")).groupBy("token").agg(F.max(F.struct("count", "comp")).alias("x"), F.count(F.lit(1)).alias("comps"), F.min("n").alias("least_n"))
+        main = main.filter("comps > 1").select("token", F.col("x.comp").alias("main"), "least_n")
         split = spread_join(split, main, "token", "grp", long_lists).withColumn("minor", F.col("comp") != F.col("main"))
+        # what isn't early enough for the smallest partner that its list may hold goes before any pairs are made
+        smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * PERCENT / 100.0)).cast("long")
+        split = split.filter(F.col("pos") <= F.col("n") - _least_overlap(F.col("n"), smallest))
         left, right = split.alias("x"), split.filter("minor").alias("y")
         order = ~F.col("x.minor") | (F.struct("x.grp", "x.comp") < F.struct("y.grp", "y.comp"))
         least = _least_overlap(F.col("x.n"), F.col("y.n"))
