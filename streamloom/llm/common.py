@@ -122,9 +122,9 @@ def total_order(docs: DataFrame, inside: str | None = None) -> list[Column]:
 
 def in_batches(rows: DataFrame, most_rows: int = 1000) -> DataFrame:
     """Bound the Arrow batches that Python workers get, so that neither side of a worker holds a whole partition of texts.
-    A size that the session sets itself stays."""
+    The bound holds for the session from then on; a size that the session sets itself stays."""
     conf = rows.sparkSession.conf
-    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+    if "spark.sql.execution.arrow.maxRecordsPerBatch" not in conf.getAll:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most_rows))
     return rows
 

@@ -396,3 +396,29 @@ def test_stages_keep_columns_of_any_name(spark):
         assert sorted(map(tuple, stage(docs).collect())) == [rows[0], rows[2]]
     for r in mixing.mixed_documents(docs).collect():
         assert tuple(r)[4:] == rows[r.doc_id][4:]
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_dedup_of_large_groups(spark, monkeypatch, hot):
+    from streamloom.llm import exact_dedup
+
+    if hot:
+        monkeypatch.setattr(common, "LEAST_HOT", 1)
+        monkeypatch.setattr(common, "SPREAD", 7)
+    rng = np.random.default_rng(12)
+    texts = ["Copy", "COPY", "copy", "É", "é", "", None, "a b", "a  b"]
+    rows = [(int(i), texts[int(k)]) for i, k in zip(rng.permutation(600), rng.choice(9, 600, p=[0.3, 0.2, 0.1, 0.1, 0.05, 0.1, 0.05, 0.05, 0.05]), strict=True)]
+    rows += [(i, f"own {i}") for i in range(600, 700)] + [(650, "own 650"), (None, "none"), (None, "none"), (None, "copy")]
+    norm = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append(i)
+    want, seen = Counter(), set()
+    for i, t in rows:
+        ids = [x for x in groups[norm(t)] if x is not None]
+        keep = max(ids, default=None)
+        first = i is not None and i == keep and (i, norm(t)) not in seen
+        seen.add((i, norm(t)))
+        want[i, keep, len(groups[norm(t)]), first, hashlib.sha256(norm(t).encode()).hexdigest()] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, exact_dedup.exact_dedup(docs, keep="max").collect())) == want
