@@ -293,3 +293,13 @@ def test_service_writes_counters_and_stops(spark, tmp_path):
     last = serve(q, str(tmp_path / "stats.json"), lambda: {"alerts": 2}, 0.2, stop)
     assert not q.isActive and (last["messages_received"], last["alerts"]) == (5, 2)
     assert health.read_stats(str(tmp_path / "stats.json"))["messages_received"] == 5
+
+
+def test_evaluation_from_the_command_line(spark, tmp_path, capsys):
+    (tmp_path / "grid.md").write_text("# Grid")
+    memo = json.dumps({"memo": {"hypothesis": "generation_loss", "confidence": 1, "evidence": []}})
+    (tmp_path / "replies").write_text(f"oops\n{memo}\n" + f"{memo}\n" * 28)
+    (tmp_path / "judge").write_text('{"score": 0.5, "reason": "r"}\n' * 29)
+    assert evaluation.main(["--replies", str(tmp_path / "replies"), "--judge", str(tmp_path / "judge"), "--cards", str(tmp_path), "--folder", str(tmp_path), "--domain", "grid"]) == 0
+    said = capsys.readouterr().out
+    assert said.startswith("seed 1234, 29 cases") and said.endswith("accuracy 0.759, mean judge 0.500\n")  # 22 of 29 alerts are the drift's
