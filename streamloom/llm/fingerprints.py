@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -356,6 +356,24 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         columns += [pa.array(map(written, own[:m]), pa.string()), pa.array(map(written, theirs), pa.string()), pa.array(near[:m]), pa.array(near[m:])]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")]), own[-1]
 
+    return _over_pairs(rows, finish, SCHEMA)
+
+
+def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_chars, edited_sha256 as fingerprint() gives them, without the fingerprints."""
+
+    def finish(ids: list, texts: list[str], known: None) -> tuple[pa.RecordBatch, None]:
+        m = len(texts) - 1
+        changed = [hashlib.sha256(edited(t, u).encode()).hexdigest() for t, u in zip(texts, texts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[:m], pa.int64()), pa.array([len(t) for t in texts[:m]], pa.int64()), pa.array(changed, pa.string())], names=["doc_id", "n_chars", "edited_sha256"]), None
+
+    return _over_pairs(in_batches(id_and_text(docs, id_col, text_col)), finish, "doc_id long, n_chars long, edited_sha256 string")
+
+
+def _over_pairs(rows: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """finish(ids, texts, known) over slices of the ordered rows, each of which begins with the last row of the one before it; known is
+    what finish found out about that row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, over, size, known = None, False, 0, None
         ids: list = []
@@ -376,8 +394,19 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     yield out
                     ids, texts, size = ids[-1:], texts[-1:], len(text)
 
-    return with_next(rows).mapInArrow(run, SCHEMA)
+    return with_next(rows).mapInArrow(run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return fingerprint(read(spark, sf_dir, "documents"))
+
+
+def edits_query(spark, sf_dir: str) -> DataFrame:
+    """The columns of query() that SQL can express."""
+    return edits(read(spark, sf_dir, "documents"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, lead(coalesce(text, '')) OVER w AS u, first_value(coalesce(text, '')) OVER w AS f FROM documents WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id, n AS n_chars, sha256(left(t, n - n // 2) || left(coalesce(u, f), n // 2)) AS edited_sha256 FROM d
+"""

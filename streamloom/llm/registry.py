@@ -18,6 +18,7 @@ QUERIES = {
     "pii_base_spans": pii.base_query,
     "mixing_targets": mixing.targets_query,
     "lm_base_scores": lm.base_query,
+    "document_edits": fingerprints.edits_query,
 }
 SQL = {
     "op6_ngram_jaccard_join": ngram_join.SQL,
@@ -26,4 +27,5 @@ SQL = {
     "pii_base_spans": pii.SQL,
     "mixing_targets": mixing.TARGETS_SQL,
     "lm_base_scores": lm.SQL,
+    "document_edits": fingerprints.SQL,
 }
