@@ -159,14 +159,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = names.withColumn("nth", nth)
     # Rows of one id, source and text pair up in order: the plan's by place, the documents' by their other columns.
     plan = plan.join(names, "nth").withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "nth", "key").orderBy("first")))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text_col).alias("_whole"), *key)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *key)
     rows = rows.withColumn("_copy", F.row_number().over(Window.partitionBy("_id", "_source", "_key").orderBy("_id", *total_order(docs.select([F.col(f"`{c}`") for c in docs.columns if c not in (id_col, source_col, text_col)]), "_row"))))
     plan = plan.select(F.col("doc_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("key").alias("p_key"), F.col("_copy").alias("p_copy"), "size", "each", "more")
     met = rows.join(plan, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_key") == F.col("p_key")) & (F.col("_copy") == F.col("p_copy")))
-    more = F.col("more")
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_whole"), F.lit(SPACED_WORD), F.lit(0)), F.lit(1), more.cast("int")), "")
-    rest = F.when((more > 0) & (more == F.col("size")), F.array(F.col("_whole"))).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col("_whole"), F.col("each").cast("int")), rest)
+    more, whole = F.col("more"), F.col("_row").getField(text_col)
+    part = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), more.cast("int")), "")
+    rest = F.when((more > 0) & (more == F.col("size")), F.array(whole)).when(more > 0, F.array(part)).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(F.array_repeat(whole, F.col("each").cast("int")), rest)
     made = met.withColumn("_text", F.explode(texts))
     changed = {text_col: F.col("_text"), chars_col: F.char_length("_text").cast("long")}
     return made.select(*(changed[c].alias(c) if c in changed else F.col("_row").getField(c).alias(c) for c in docs.columns))
