@@ -113,6 +113,12 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like these that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k).lower() not in taken) for name in names]
+
+
 def total_order(docs: DataFrame, inside: str | None = None) -> list[Column]:
     """An order of rows by all columns that have one (fields of the struct `inside`, if given): rows that tie are equal in them, so
     that it doesn't matter which comes first."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamloom.llm.common import ascii_lower, hot_keys, id_and_text, read, settle, spread_join, total_order
+from streamloom.llm.common import ascii_lower, fresh, hot_keys, id_and_text, read, settle, spread_join, total_order
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -36,14 +36,12 @@ def drop_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     Rows are dealt out by hash and text, each partition having first left one row of a group, so texts move once and a large
     group sends a row per partition. Of rows that share the staying id, the other columns decide, and the text before lower-casing.
     """
-    norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), norm.alias("norm"))
-    own = own.withColumn("h", F.unhex(F.md5(F.col("norm").cast("binary"))))
-    key = F.col("row").getField(id_col)
-    by_id = {"min": key.asc_nulls_last, "max": key.desc_nulls_last}[keep]()
-    same = Window.partitionBy("h", "norm").orderBy(by_id, *total_order(docs, "row"))
-    kept = own.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    norm, digest, nth = fresh(docs, "norm", "digest", "nth")
+    own = docs.withColumn(norm, ascii_lower(F.coalesce(F.col(text_col), F.lit(""))))
+    own = own.withColumn(digest, F.unhex(F.md5(F.col(norm).cast("binary"))))
+    by_id = {"min": F.col(id_col).asc_nulls_last, "max": F.col(id_col).desc_nulls_last}[keep]()
+    same = Window.partitionBy(digest, norm).orderBy(by_id, *total_order(docs))
+    return own.withColumn(nth, F.row_number().over(same)).filter(F.col(nth) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
