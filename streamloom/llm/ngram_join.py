@@ -35,7 +35,6 @@ from streamloom.llm.common import HOT, LEAST_HOT, hot_keys, id_and_text, in_batc
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 1 << 22
-BLOCK_BITS = 6
 FILTER_WORDS = 1 << 21
 CACHED = 20_000
 FINE = 32
@@ -99,7 +98,8 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
 
     Every partition counts into SLOTS counters; partial counters are added up block by block, in as many blocks as keep what one task
     adds up the same whatever the number of partitions. The order of shingles only affects speed: any order gives the same result."""
-    n_blocks = 1 << max(BLOCK_BITS, min(16, (rows.rdd.getNumPartitions() // 8).bit_length()))
+    n_tasks = 1 << max(6, min(16, (rows.rdd.getNumPartitions() // 8).bit_length()))
+    n_blocks = min(16 * n_tasks, 1 << 16)  # so many that hashing deals them out evenly
 
     def count(batches):
         total = np.zeros(SLOTS, np.uint32)
@@ -120,7 +120,7 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    found = rows.select("text").mapInArrow(count, schema).repartition(n_blocks, "block").mapInArrow(add, schema)
+    found = rows.select("text").mapInArrow(count, schema).repartition(n_tasks, "block").mapInArrow(add, schema)
     total = np.zeros((n_blocks, SLOTS // n_blocks), np.uint32)
     for r in found.toLocalIterator():
         total[r.block] = np.frombuffer(r.counts, np.int64)
