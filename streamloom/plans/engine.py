@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +70,13 @@ def status(messages: DataFrame, found: DataFrame, rules: DataFrame | None = None
     """One row: messages, streams (sorted; those of the rules too), last time, alerts."""
     m = messages.agg(F.count(F.lit(1)).alias("processed"), F.collect_set("stream_id").alias("seen"), F.max_by("ts_ns", "pos").alias("last_ts_ns"))
     ruled = F.array().cast("array<bigint>") if rules is None else F.array(*(F.lit(r.stream_id).cast("long") for r in rules.select("stream_id").distinct().collect())).cast("array<bigint>")
-    return m.crossJoin(found.agg(F.count(F.lit(1)).alias("alerts"))).select("processed", F.array_sort(F.array_union("seen", ruled)).alias("streams"), "last_ts_ns", "alerts")  # one row by one row
+    return one_row([m, found.agg(F.count(F.lit(1)).alias("alerts"))]).select("processed", F.array_sort(F.array_union("seen", ruled)).alias("streams"), "last_ts_ns", "alerts")
+
+
+def one_row(rows: list[DataFrame]) -> DataFrame:
+    """The columns of tables of one row each, side by side."""
+    stacked = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
 
 
 def run_file(spark: SparkSession, path: str, rule_files: list[str], profile: Profile = Profile()) -> tuple[DataFrame, DataFrame]:  # noqa: B008

@@ -55,7 +55,4 @@ def counters(frames: DataFrame, products: DataFrame, alerts: DataFrame) -> DataF
         seen.agg(F.count_if(pushed).alias("pushed"), F.count_if(F.col("accepted") & (F.col("seq") > F.col("last") + 1)).alias("gaps"), F.max_by("ts_ns", F.when(pushed, F.col("pos"))).alias("last_ts_ns"), F.array_sort(F.collect_set(F.when(pushed, F.col("stream_id")))).alias("streams")),
         alerts.agg(F.count(F.lit(1)).alias("alerts")),
     ]
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.crossJoin(row)  # one row by one row
-    return out.select("received", "pushed", "parse_failures", "gaps", "reconnects", "alerts", "last_ts_ns", "streams")
+    return engine.one_row(rows).select("received", "pushed", "parse_failures", "gaps", "reconnects", "alerts", "last_ts_ns", "streams")

@@ -169,7 +169,7 @@ QUERIES = {
     "cusum_state": lambda s, d: fold.detect(messages(s, d), PROFILE, ("cusum",)).select("pos", "cusum_high", "cusum_low", "cusum_fired"),
     "conformal_threshold": lambda s, d: fold.detect(messages(s, d), PROFILE, ("conformal",)).select("pos", F.when(F.col("threshold") < float("inf"), F.col("threshold")).alias("threshold"), "anomalous"),
     "fixed_cusum": lambda s, d: fold.fixed_cusum_fires(messages(s, d), k=0.5, h=5.0, mu=50.0, sigma=50.0, min_gap=10),
-    "bocpd_map_run": lambda s, d: fold.changepoints(messages(s, d), mu=50.0, beta=2500.0),
+    "bocpd_map_run": lambda s, d: fold.changepoints(messages(s, d), mu=50.0, beta=2500.0).withColumn("recent_milli", F.floor(F.col("recent") * 1000 + 0.5).cast("long")).drop("recent"),
     "pipeline_alerts": lambda s, d: found(s, d),
     "alert_counts_by_layer": lambda s, d: engine.raised(messages(s, d), rule_table(s), PROFILE).groupBy("layer").agg(F.count(F.lit(1)).alias("n")),
     "alerts_latest_n": lambda s, d: engine.latest(found(s, d), 20).select("id", "stream_id", "ts_ns", "layer"),
@@ -312,6 +312,23 @@ SQL = {
     "checksum_per_stream": f"""WITH {_M}, b AS (SELECT stream_id, flatten(list({_BYTES} ORDER BY pos)) AS b FROM m GROUP BY stream_id)
       SELECT stream_id, lpad(lower(to_hex(CAST(list_reduce(list_prepend(14695981039346656037::UHUGEINT, CAST(b AS UHUGEINT[])),
         lambda h, x: xor(h, x) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS UBIGINT))), 16, '0') AS digest FROM b""",
+    "bocpd_map_run": f"""WITH RECURSIVE {_M}, o AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY pos) AS rn FROM m),
+      g AS (
+        SELECT stream_id, 0::BIGINT AS rn, -1::BIGINT AS pos, [{{'l': 0::BIGINT, 'p': 1e0, 'm': 5e1, 'b': 25e2}}] AS st, 0::BIGINT AS run_length, 0e0 AS recent, false AS fired, 10::BIGINT AS quiet FROM o WHERE rn = 1
+        UNION ALL
+        SELECT stream_id, rn, pos, st, now, recent, fire, CASE WHEN fire THEN 0 ELSE quiet + 1 END FROM (
+          SELECT *, rn - 1 > 5 AND quiet >= 10 AND (recent > 5e-1 OR run_length - now >= greatest(30, run_length // 2)) AS fire FROM (
+            SELECT *, list_filter(st, lambda s: s.p = best)[1].l AS now, list_sum(list_transform(list_filter(st, lambda s: s.l <= 5), lambda s: s.p)) AS recent FROM (
+              SELECT stream_id, rn, pos, run_length, quiet, list_transform(kept, lambda s: {{'l': s.l, 'p': s.p / total, 'm': s.m, 'b': s.b}}) AS st, list_max(list_transform(kept, lambda s: s.p / total)) AS best FROM (
+                SELECT *, list_sum(list_transform(kept, lambda s: s.p)) AS total FROM (
+                  SELECT *, list_filter(list_prepend({{'l': 0::BIGINT, 'p': 1e0 / 250, 'm': 5e1, 'b': 25e2}}, list_transform(joint, lambda s: {{'l': s.l, 'p': s.p / mass * (1 - 1e0 / 250), 'm': s.m, 'b': s.b}})), lambda s: s.l = 0 OR s.p >= 1e-6) AS kept FROM (
+                    SELECT *, list_sum(list_transform(joint, lambda s: s.p)) AS mass FROM (
+                      SELECT g.stream_id, o.rn, o.pos, g.run_length, g.quiet, list_transform(g.st, lambda s: {{'l': s.l + 1,
+                        'p': s.p * exp(lgamma(15e-1 + s.l / 2e0) - lgamma(1 + s.l / 2e0) - 5e-1 * ln(2 * pi() * (2e0 + s.l) / (1e0 + s.l)) - 5e-1 * ln(s.b)
+                          - (15e-1 + s.l / 2e0) * ln(1 + (o.value - s.m) * (o.value - s.m) * (1e0 + s.l) / (2 * (2e0 + s.l)) / s.b)),
+                        'm': s.m + (o.value - s.m) / (2e0 + s.l), 'b': s.b + (o.value - s.m) * (o.value - s.m) * (1e0 + s.l) / (2 * (2e0 + s.l))}}) AS joint
+                      FROM g JOIN o ON o.stream_id = g.stream_id AND o.rn = g.rn + 1)))))))
+      ) SELECT pos, stream_id, run_length, fired, CAST(floor(recent * 1000 + 5e-1) AS BIGINT) AS recent_milli FROM g WHERE rn > 0""",
     "reset_accept": f"""WITH {_REPEATED}, ep AS (SELECT *, CAST(sum(CASE WHEN pos % 997 = 996 THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS BIGINT) AS epoch FROM rp)
       SELECT pos, stream_id, epoch, last, coalesce(seq > last, true) AS accepted FROM (
         SELECT *, max(seq) OVER (PARTITION BY epoch, stream_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM ep WHERE pos % 997 <> 996)""",

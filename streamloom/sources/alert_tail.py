@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "pos long, stream_id long, ts_ns long, layer string, detail string, created_at string"
+FIELDS = [tuple(c.split()) for c in SCHEMA.split(", ")][1:]
+KINDS = {"long": int, "string": str}
 BLOCK = 1 << 16
 
 
@@ -36,12 +38,13 @@ def whole_lines(path: str) -> int:
 
 
 def parse_alert(line: bytes) -> tuple | None:
+    """The fields of SCHEMA but pos, each as its kind; None if one is missing or doesn't fit."""
     try:
-        a = json.loads(line)
-        row = int(a["stream_id"]), int(a["ts_ns"]), str(a["layer"]), str(a["detail"]), str(a["created_at"])
-    except (ValueError, KeyError, TypeError, OverflowError):
+        said = json.loads(line)
+        row = tuple(KINDS[kind](said[name]) for name, kind in FIELDS)
+    except (LookupError, ArithmeticError, ValueError, TypeError):
         return None
-    return row if all(-(2**63) <= v < 2**63 for v in row[:2]) else None
+    return row if all(kind != "long" or -(2**63) <= v < 2**63 for v, (_, kind) in zip(row, FIELDS, strict=True)) else None
 
 
 class Range(InputPartition):
