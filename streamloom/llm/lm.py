@@ -31,7 +31,7 @@ OWN_CLASSES = 4096
 BUCKETS = 256
 STATES = 4
 SEGMENT = 64
-TRAIN_SEGMENT, TRAIN_TOKENS = 1024, 1_000_000
+TRAIN_SEGMENT, TRAIN_TOKENS, RESCALE = 1024, 1_000_000, 8
 ROUNDS, SETTLED = 13, 1e-5
 SEED = 11
 FLUSH = 400_000
@@ -126,36 +126,50 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=0)
 
 
-def _edges(classes: np.ndarray, text: np.ndarray, first: np.ndarray, size: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _edges(classes: np.ndarray, text: np.ndarray, first: np.ndarray, size: np.ndarray, model: Model, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What the rest of its text says of every segment (states, segments): the distribution of its first state given the tokens
     before, and the likelihood of the tokens behind given its last state, up to a factor. Segments of a text are multiplied
-    out as transfer matrices; texts of one segment need none."""
+    out as transfer matrices; texts of one segment need none. emit: as from _near_one()."""
     before, behind = np.repeat(model.start[:, None], len(text), axis=1), np.ones((STATES, len(text)))
     n_parts = np.bincount(text)
     many = np.flatnonzero(n_parts[text] > 1)
     if not len(many):
         return before, behind
     order = many[np.argsort(-size[many], kind="stable")]
-    emit, step = np.ascontiguousarray(model.emit.T), model.step
+    live = np.searchsorted(-size[order], -np.arange(size[order[0]]), side="left").tolist()
+    onward, starts = np.ascontiguousarray(model.step.T), first[order]
     moved = np.repeat(np.eye(STATES)[:, :, None], len(order), axis=2)  # last state, first state, segment
-    for t in range(size[order[0]]):
-        n = np.searchsorted(-size[order], -t, side="left")
-        now = moved[:, :, :n] if t == 0 else (step.T @ moved[:, :, :n].reshape(STATES, -1)).reshape(STATES, STATES, n)
-        now = now * emit[:, classes[first[order[:n]] + t]][:, None, :]
-        moved[:, :, :n] = now / now.sum(axis=(0, 1))
     whole = np.empty((STATES, STATES, len(text)))
-    whole[:, :, order] = moved
+    for t, n in enumerate(live):
+        m = moved.shape[2]
+        if n < m:
+            whole[:, :, order[n:m]] = moved[:, :, n:]
+            moved = np.ascontiguousarray(moved[:, :, :n])
+        if t:
+            moved = (onward @ moved.reshape(STATES, -1)).reshape(STATES, STATES, n)
+        moved *= emit.take(classes[starts[:n] + t], axis=1)[:, None, :]
+        if t % RESCALE == RESCALE - 1:
+            moved /= moved.sum(axis=(0, 1))
+    whole[:, :, order[: moved.shape[2]]] = moved
+    whole[:, :, many] /= whole[:, :, many].sum(axis=(0, 1))
     texts = np.unique(text[many])
     at = (np.cumsum(n_parts) - n_parts)[texts]
     for k in range(int(n_parts.max()) - 1):
         own = at[n_parts[texts] > k + 1] + k
-        before[:, own + 1] = _unit(step.T @ np.einsum("jin,in->jn", whole[:, :, own], before[:, own]))
+        before[:, own + 1] = _unit(onward @ np.einsum("jin,in->jn", whole[:, :, own], before[:, own]))
     for k in range(int(n_parts.max()) - 1):
         own = (at + n_parts[texts] - 1)[n_parts[texts] > k + 1] - k
-        behind[:, own - 1] = _unit(step @ np.einsum("jin,jn->in", whole[:, :, own], behind[:, own]))
+        behind[:, own - 1] = _unit(model.step @ np.einsum("jin,jn->in", whole[:, :, own], behind[:, own]))
     return before, behind
 
 
+def _near_one(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions by their class's mean over the states (states, classes), and those means. Products of them stay in range for
+    many tokens, so that they need scaling only now and then."""
+    mean = model.emit.mean(axis=1)
+    return np.ascontiguousarray((model.emit / mean[:, None]).T), mean
+
+
 def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch, exact over whole texts: expected starts, steps, and emissions (classes, states); and the log10 likelihood."""
     starts, steps, emitted = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((len(model.emit), STATES))
@@ -163,29 +177,36 @@ def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> t
         return starts, steps, emitted, 0.0
     text, first, size = segments(lengths, TRAIN_SEGMENT)
     is_first, is_last = np.append(True, text[1:] != text[:-1]), np.append(text[1:] != text[:-1], True)
-    before, behind = _edges(classes, text, first, size, model)
+    emit, mean = _near_one(model)
+    before, behind = _edges(classes, text, first, size, model, emit)
     order = np.argsort(-size, kind="stable")
     live = np.searchsorted(-size[order], -np.arange(size[order[0]]), side="left")  # segments that have a token t
-    at = np.append(0, np.cumsum(live))  # the tokens, t by t
-    flat = classes[np.repeat(np.arange(len(live)), live) + first[order][np.arange(at[-1]) - np.repeat(at[:-1], live)]]
-    seen, alpha, scale = np.ascontiguousarray(model.emit.T)[:, flat], np.empty((STATES, at[-1])), np.empty(at[-1])
+    at = np.append(0, np.cumsum(live)).tolist()  # the tokens, t by t
+    live, origin = live.tolist(), first[order]
+    flat, seen, alpha, likely = np.empty(at[-1], np.intp), [], [], 0.0
     onward, back = np.ascontiguousarray(model.step.T), model.step
-    for t, n in enumerate(live.tolist()):
-        lo, hi = at[t], at[t + 1]
-        own = alpha[:, lo:hi]
-        np.multiply(onward @ alpha[:, at[t - 1] : at[t - 1] + n] if t else before[:, order], seen[:, lo:hi], out=own)
-        np.add.reduce(own, axis=0, out=scale[lo:hi])
-        own /= scale[lo:hi]
-    likely = float(np.log10(scale).sum())
-    beta, gamma, last, m = np.zeros((STATES, 0)), np.empty((STATES, at[-1])), np.empty((STATES, len(order))), 0
-    seen /= scale
+    for t, n in enumerate(live):
+        flat[at[t] : at[t + 1]] = now = classes[origin[:n] + t]
+        now = emit.take(now, axis=1)
+        own = (onward @ alpha[-1][:, :n] if t else before[:, order]) * now
+        if t % RESCALE == RESCALE - 1:
+            scale = own.sum(axis=0)
+            own /= scale
+            now /= scale
+            likely += np.log10(scale).sum()
+        seen.append(now)
+        alpha.append(own)
+    likely += np.bincount(flat, minlength=len(mean)) @ np.log10(mean)
+    gamma, last, beta, m = np.empty((STATES, at[-1])), np.empty((STATES, len(order))), np.zeros((STATES, 0)), 0
     for t in range(len(live) - 1, -1, -1):
-        own, ends = alpha[:, at[t] : at[t + 1]], order[m : live[t]]
+        own, ends = alpha.pop(), order[m : live[t]]
         if live[t] > m:
-            last[:, ends] = own[:, m:]
-            tail = behind[:, ends] / (own[:, m:] * behind[:, ends]).sum(axis=0)
+            last[:, ends] = ended = own[:, m:]
+            likely += np.log10(ended.sum(axis=0)).sum()
+            ahead = behind[:, ends]
+            tail = ahead / (ended * ahead).sum(axis=0)
         if m:
-            weighted = seen[:, at[t + 1] : at[t + 1] + m] * beta
+            weighted = seen.pop() * beta
             steps += own[:, :m] @ weighted.T
             beta = back @ weighted if live[t] == m else np.concatenate([back @ weighted, tail], axis=1)
         else:
@@ -195,7 +216,7 @@ def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> t
     steps *= model.step
     # the step from a segment to the next one of its text
     entered = np.empty((STATES, len(order)))
-    entered[:, order] = seen[:, : at[1]] * scale[: at[1]] * beta
+    entered[:, order] = seen.pop() * beta
     left = np.flatnonzero(~is_last)
     cross = last[:, left], entered[:, left + 1]
     norm = (cross[0] * (model.step @ cross[1])).sum(axis=0)
@@ -203,7 +224,7 @@ def expected_counts(classes: np.ndarray, lengths: np.ndarray, model: Model) -> t
     starts += gamma[:, : at[1]][:, is_first[order]].sum(axis=1)
     for k in range(STATES):
         emitted[:, k] = np.bincount(flat, gamma[k], len(emitted))
-    return starts, steps, emitted, likely
+    return starts, steps, emitted, float(likely)
 
 
 def refit(counts: tuple, share: np.ndarray) -> Model:
@@ -219,19 +240,24 @@ def log_likelihoods(classes: np.ndarray, lengths: np.ndarray, model: Model) -> n
     order = np.argsort(-size, kind="stable")
     live = np.searchsorted(-size[order], -np.arange(1, SEGMENT + 1), side="right")
     log_scale = np.zeros(len(text))
+    emit, mean = _near_one(model)
+    by_class, starts = np.ascontiguousarray(emit.T), first[order]
     moved = np.tile(np.eye(STATES), (len(text), 1, 1))  # rows: the state before the segment
     for t in range(SEGMENT):
         n = live[t]
         if not n:
             break
-        now = (moved[:n].reshape(-1, STATES) @ model.step).reshape(n, STATES, STATES) * model.emit[classes[first[order[:n]] + t]][:, None, :]
-        scale = now.sum(axis=(1, 2), keepdims=True)
-        moved[:n] = now / scale
-        log_scale[:n] += np.log10(scale[:, 0, 0])
+        now = (moved[:n].reshape(-1, STATES) @ model.step).reshape(n, STATES, STATES)
+        np.multiply(now, by_class.take(classes[starts[:n] + t], axis=0)[:, None, :], out=moved[:n])
+        if t % RESCALE == RESCALE - 1:
+            scale = moved[:n].sum(axis=(1, 2), keepdims=True)
+            moved[:n] /= scale
+            log_scale[:n] += np.log10(scale[:, 0, 0])
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     moved, log_scale = moved[back], log_scale[back]
     out = np.bincount(text, log_scale, len(lengths))
+    out += np.bincount(np.repeat(np.arange(len(lengths)), lengths), np.log10(mean)[classes], len(lengths))
     n = -(-lengths // SEGMENT)
     base = np.cumsum(n) - n
     # A step into the first token must give the start distribution: start = before @ step.

@@ -268,6 +268,27 @@ def test_expected_counts_are_exact():
         assert got == pytest.approx(want, rel=1e-9, abs=1e-9)
 
 
+def test_lm_scales_now_and_then(monkeypatch):
+    """Not at every token, also where the only state that can emit a token is one that is hard to reach."""
+    rng = np.random.default_rng(3)
+    emit = np.where(np.arange(20)[:, None] % 4 == np.arange(4), 1.0, 1e-12)
+    model = lm.Model(np.full(4, 0.25), (1 - 4e-9) * np.eye(4) + 1e-9, emit / emit.sum(axis=0))
+    lengths = np.array([1, 7, 8, 9, 64, 300, 1023, 1025, 3000])
+    classes, want, at = rng.integers(0, 20, lengths.sum()), [], 0
+    for n in lengths:
+        a, own = model.start, 0.0
+        for t, k in enumerate(classes[at : at + n]):
+            a = (a @ model.step if t else a) * model.emit[k]
+            own, a = own + math.log10(a.sum()), a / a.sum()
+        want.append(own)
+        at += n
+    calls, log10 = [], np.log10
+    monkeypatch.setattr(np, "log10", lambda *x, **y: calls.append(0) or log10(*x, **y))
+    got = lm.log_likelihoods(classes, lengths, model)
+    assert len(calls) <= lm.SEGMENT // 4 + -(-lengths.max() // lm.SEGMENT) + 1
+    assert got == pytest.approx(want) and lm.expected_counts(classes, lengths, model)[3] == pytest.approx(sum(want))
+
+
 def test_lm_trains_on_all_texts_in_every_round(spark):
     """Texts over 20,000 bytes too, against rounds over all texts at once."""
     rng = np.random.default_rng(2)
