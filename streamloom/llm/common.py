@@ -23,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 HOT, LEAST_HOT, SPREAD = 256, 1000, 64
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The white space of the split pattern of byte-level BPE (Unicode White_Space), for a character class.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SAFE_CUT = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
@@ -46,11 +48,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, and survives lost executors. What was shuffled for it goes
+    at once: else it stays on disk until the driver happens to collect its garbage, and a large job fills the disk."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     for made in _scratch:
         made.append(path)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -96,8 +96,8 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
     deviation that chance gives up to FINE, by its logarithm above. A set's prefix is from its emptiest slots, and a shingle
     has no more documents than its slot counts.
 
-    Every partition counts into SLOTS counters; partial counters are added up block by block, in as many blocks as keep what one task
-    adds up the same whatever the number of partitions. The order of shingles only affects speed: any order gives the same result."""
+    Every partition counts into SLOTS counters; partial counters, a block in the fewest bytes that hold its largest, are added up block by
+    block, in as many blocks as keep what one task adds up the same whatever the number of partitions. The order of shingles only affects speed: any order gives the same result."""
     n_tasks = 1 << max(6, min(16, (rows.rdd.getNumPartitions() // 8).bit_length()))
     n_blocks = min(16 * n_tasks, 1 << 16)  # so many that hashing deals them out evenly
 
@@ -108,19 +108,19 @@ def frequency_levels(rows: DataFrame) -> np.ndarray:
                 found = np.concatenate(shingle_sets(part.column("text").to_pylist()))
                 slots, n = np.unique(found & np.uint64(SLOTS - 1), return_counts=True)
                 total[slots.astype(np.int64)] += n.astype(np.uint32)
-        blocks = [b.astype("<u4").tobytes() for b in np.split(total, n_blocks)]
+        blocks = [b.astype(np.min_scalar_type(b.max())).tobytes() for b in np.split(total, n_blocks)]
         yield pa.RecordBatch.from_arrays([pa.array(range(n_blocks), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[block] = sums.get(block, 0) + np.frombuffer(counts, "<u4").astype(np.int64)
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts, f"u{len(counts) * n_blocks // SLOTS}").astype(np.int64)
         for block, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "counts"])
 
     schema = "block int, counts binary"
-    found = rows.select("text").mapInArrow(count, schema).repartition(n_tasks, "block").mapInArrow(add, schema)
+    found = settle(rows.select("text").mapInArrow(count, schema).repartition(n_tasks, "block").mapInArrow(add, schema), "ngram-sketch")
     total = np.zeros((n_blocks, SLOTS // n_blocks), np.uint32)
     for r in found.toLocalIterator():
         total[r.block] = np.frombuffer(r.counts, np.int64)

@@ -160,6 +160,40 @@ def test_hot_keys_are_spread(spark, monkeypatch):
     assert sorted(r.doc_id for r in ngram_join.drop_near_copies(docs).collect()) == sorted({c for _, _, c in want})
 
 
+def test_settled_tables_leave_no_shuffle_files(spark):
+    """Also those of the sketch: what one step shuffled is off the disk before the next, without waiting for the driver's garbage collection."""
+
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for k in range(blocks.size()) if (name := blocks.apply(k).name()).startswith("shuffle_")}
+
+    def left(before):
+        end = time.time() + 10
+        while (new := shuffled() - before) and time.time() < end:
+            time.sleep(0.2)
+        return new
+
+    was, before = spark.conf.get(common.CLEANUP), shuffled()
+    sums = spark.range(1000).groupBy((F.col("id") % 70).alias("k")).agg(F.sum("id").alias("s"))
+    table = common.settle(sums.join(spark.range(50).groupBy((F.col("id") % 60).alias("k")).count().hint("merge"), "k"), "test-sums")
+    assert {(r.k, r.s) for r in table.collect()} == {(k, sum(range(k, 1000, 70))) for k in range(50)} and not left(before)
+    before = shuffled()
+    ngram_join.frequency_levels(spark.createDataFrame([("a b c d e f",)], "text string"))
+    assert not left(before) and spark.conf.get(common.CLEANUP) == was
+
+
+def test_sketch_counts_of_any_size(spark):
+    """Counters of one partition that need one, two and four bytes."""
+    texts = {"a b c d e": 70_000, "f g h i j": 300, "k l m n o": 1}
+    rows = spark.createDataFrame(list(texts.items()), "text string, n int").selectExpr("text", "explode(sequence(1, n))").coalesce(1)
+    levels = ngram_join.frequency_levels(rows)
+    load = 70_301 / ngram_join.SLOTS
+    for (s,), n in zip(ngram_join.shingle_sets(list(texts)), texts.values(), strict=True):
+        above = (n - load) / max(load, 1) ** 0.5
+        assert levels[int(s) % ngram_join.SLOTS] == int(min(ngram_join.FINE // 2 + min(4 * above, ngram_join.FINE // 2) + math.log2(max(above - ngram_join.FINE // 8 + 1, 1)), 63))
+    assert np.count_nonzero(levels != levels.min()) == 3
+
+
 def test_templates_that_do_not_link_make_few_pairs(spark, monkeypatch):
     """Pages that share most of a template, but less than links need: the pairs that meet don't grow with the square of the pages."""
     pairs = []
